@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 _ISO_DATE = r"^\d{4}-\d{1,2}-\d{1,2}"
 _HAS_ZONE = r"([Zz]|[+-]\d{1,2}(:?\d{2})?)$"
 _HAS_TIME = r"^\d{4}-\d{1,2}-\d{1,2}[T ]\d"
+_INTEGER = r"^\s*[+-]?\d{1,19}\s*$"
+_DECIMAL = r"^\s*[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?\s*$"
 
 # Month names of the web API's own time format.
 _MONTHS = ("Jan", "Feb", "Mar", "Apr", "May", "Jun", "Jul", "Aug", "Sep", "Oct", "Nov", "Dec")
@@ -42,14 +44,21 @@ def parse_instant(col: Column, api_format: bool = False) -> Column:
 
 
 def parse_int(col: Column, default: int = 0) -> Column:
-    """Text as a whole number, else ``default``."""
-    return F.coalesce(col.cast("string").try_cast("bigint"), F.lit(default).cast("bigint"))
+    """Text as a whole number, else ``default``.
+
+    The pattern keeps unreadable text away from the cast, which would raise and
+    catch an exception for each such row.
+    """
+    text = col.cast("string")
+    number = F.when(text.rlike(_INTEGER), text.try_cast("bigint"))
+    return F.coalesce(number, F.lit(default).cast("bigint"))
 
 
 def parse_float(col: Column, default: Column | float | None = 1.0) -> Column:
     """Text as a finite number, else ``default``."""
-    number = col.cast("string").try_cast("double")
-    finite = F.when(~F.isnan(number) & (F.abs(number) != float("inf")), number)
+    text = col.cast("string")
+    number = F.when(text.rlike(_DECIMAL), text.try_cast("double"))
+    finite = F.when(F.abs(number) != float("inf"), number)
     if default is None:
         return finite
     fallback = default if isinstance(default, Column) else F.lit(float(default))

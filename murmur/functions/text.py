@@ -49,12 +49,15 @@ def ensure_list_from_json(tags: Column) -> Column:
     return ensure_list(F.coalesce(as_array, F.when(tags.isNotNull(), F.array(tags))))
 
 
+def target_symbols(target: Column) -> Column:
+    """A normalised target coin as a list of at most one symbol; the sentinel gives none."""
+    symbol = F.upper(F.btrim(target, F.lit("#$")))
+    usable = (symbol != "") & (F.upper(target) != WHALE_SIGNAL)
+    return F.when(usable, F.array(symbol)).otherwise(no_strings())
+
+
 def normalize_target(target: Column) -> Column:
-    """A target coin as a list of at most one symbol; the whale sentinel gives none."""
-    text = normalize_text(target)
-    return F.when(F.upper(text) == WHALE_SIGNAL, no_strings()).otherwise(
-        ensure_list(F.array(text))
-    )
+    return target_symbols(normalize_text(target))
 
 
 def first_non_empty(*lists: Column) -> Column:

@@ -43,10 +43,12 @@ def parsed_only(parsed: DataFrame) -> DataFrame:
 
 
 def is_whale(name: Column, target: Column) -> Column:
-    """Sentinel target, or a known name in any case with or without ``@``."""
-    handle = F.ltrim(F.lower(text.normalize_text(name)), F.lit("@"))
-    sentinel = F.upper(text.normalize_text(target)) == WHALE_SIGNAL
-    return sentinel | handle.isin(*WHALE_AUTHORS)
+    """Sentinel target, or a known name in any case with or without ``@``.
+
+    Both columns are normalised text.
+    """
+    handle = F.ltrim(F.lower(name), F.lit("@"))
+    return (F.upper(target) == WHALE_SIGNAL) | handle.isin(*WHALE_AUTHORS)
 
 
 def author_class(weight: Column) -> Column:
@@ -55,7 +57,7 @@ def author_class(weight: Column) -> Column:
 
 def classify_authors(df: DataFrame, author: str = "author", target: str = "target_coin") -> DataFrame:
     """Add the class and weight that follow from name and target alone."""
-    whale = is_whale(F.col(author), F.col(target))
+    whale = is_whale(text.normalize_text(F.col(author)), text.normalize_text(F.col(target)))
     return df.withColumn(
         "author_weight", F.when(whale, WHALE_WEIGHT).otherwise(MARKET_WEIGHT)
     ).withColumn("author_type", author_class(F.col("author_weight")))
@@ -101,20 +103,24 @@ def normalize_posts(
         F.coalesce(text.first_text(F.col("content"), F.col("text")), F.lit("")).alias("content"),
         _tags(df, "hashtags").alias("hashtags"),
         _tags(df, "cashtags").alias("array_symbols"),
-        text.normalize_target(F.col("target_coin")).alias("target_symbols"),
+        text.normalize_text(F.col("target_coin")).alias("target"),
         parse.parse_int(F.col("like_count")).alias("like_count"),
         parse.parse_int(F.col("retweet_count")).alias("retweet_count"),
         parse.parse_int(F.col("reply_count")).alias("reply_count"),
         F.coalesce(F.lower(text.first_text(F.col("lang"))), F.lit("und")).alias("lang"),
         F.lower(text.first_text(F.col("author_type"))).alias("given_type"),
         parse.parse_float(F.col("author_weight"), None).alias("given_weight"),
-        "target_coin",
+    )
+    # A column of its own, so that the text is searched once and only if needed.
+    searched = fields.withColumn(
+        "text_symbols",
+        F.when(F.size("array_symbols") == 0, text.extract_cashtags(F.col("content"))),
     )
     symbols = text.first_non_empty(
-        F.col("array_symbols"), text.extract_cashtags(F.col("content")), F.col("target_symbols")
+        F.col("array_symbols"), F.col("text_symbols"), text.target_symbols(F.col("target"))
     )
-    whale = is_whale(F.col("username"), F.col("target_coin"))
-    resolved = fields.withColumns(
+    whale = is_whale(F.col("username"), F.col("target"))
+    resolved = searched.withColumns(
         {
             "cashtags": F.array_distinct(symbols) if distinct_symbols else symbols,
             "author_weight": F.coalesce(
@@ -138,13 +144,19 @@ def normalize_posts(
 
 
 def invalid_reason() -> Column:
-    """The first failing check of a normalised post, NULL if it is valid."""
+    """The first failing check of a normalised post, NULL if it is valid.
+
+    The last condition never holds.  Being non-deterministic it keeps the
+    optimizer from moving a filter on the reason below the projection that
+    computes it, which would parse and normalise every post twice.
+    """
     return (
         F.when(F.col("bad_json"), "bad_json")
         .when(F.col("tweet_id").isNull(), "missing_id")
         .when(F.col("created_at").isNull(), "bad_timestamp")
         .when(F.col("content") == "", "missing_content")
         .when(F.size("cashtags") == 0, "missing_symbol")
+        .when(F.spark_partition_id() < 0, "")
     )
 
 
