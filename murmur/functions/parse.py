@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 _ISO_DATE = r"^\d{4}-\d{1,2}-\d{1,2}"
 _HAS_ZONE = r"([Zz]|[+-]\d{1,2}(:?\d{2})?)$"
 _HAS_TIME = r"^\d{4}-\d{1,2}-\d{1,2}[T ]\d"
+_NO_SECONDS = r"^(\d{4}-\d{2}-\d{2}[T ]\d{2}:\d{2})(Z|[+-]\d{2}(:?\d{2})?)?$"
+_SHORT_ZONE = r"([+-]\d{2})(\d{2})$"
 _INTEGER = r"^\s*[+-]?\d{1,19}\s*$"
 _DECIMAL = r"^\s*[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?\s*$"
 
@@ -24,10 +26,16 @@ def parse_instant(col: Column, api_format: bool = False) -> Column:
     ``Sat Apr 18 08:00:00 +0000 2026``.
     """
     text = F.trim(col.cast("string"))
+    # Most times are complete and end in Z; only the others need rewriting.
+    full = F.regexp_replace(text, _NO_SECONDS, "$1:00$2")
     zoned = (
-        F.when(~text.rlike(_HAS_TIME), F.concat(text, F.lit("T00:00:00Z")))
-        .when(F.substring(text, 11, 100).rlike(_HAS_ZONE), text)
-        .otherwise(F.concat(text, F.lit("Z")))
+        F.when(text.endswith("Z") & (F.length(text) > 19), text)
+        .when(~text.rlike(_HAS_TIME), F.concat(text, F.lit("T00:00:00Z")))
+        .when(
+            F.substring(text, 11, 100).rlike(_HAS_ZONE),
+            F.regexp_replace(full, _SHORT_ZONE, "$1:$2"),
+        )
+        .otherwise(F.concat(full, F.lit("Z")))
     )
     iso = F.when(text.rlike(_ISO_DATE), F.try_to_timestamp(zoned))
     if not api_format:

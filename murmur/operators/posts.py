@@ -235,4 +235,4 @@ def observe_posts(normalized: DataFrame, name: str | Observation = "posts") -> D
 
 def explode_symbols(posts: DataFrame) -> DataFrame:
     """One row per (post, symbol)."""
-    return posts.withColumn("symbol", F.explode(F.transform("cashtags", F.upper)))
+    return posts.withColumn("symbol", F.explode("cashtags")).withColumn("symbol", F.upper("symbol"))
