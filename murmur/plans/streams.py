@@ -90,10 +90,12 @@ def stream_spike_upsert(spark, sf_dir):
     """Closed hourly windows upserted with their spike fields."""
     root = scratch_path(spark, "stream_spike_upsert")
     trends = pipeline.trend_stream(_normalized(spark, sf_dir), HOUR, HOUR, exact=True)
-    table = TrendTable(f"{root}/trends", rule=T.RULE, horizon=timedelta(minutes=10) + HOUR)
+    table = TrendTable(
+        f"{root}/trends", rule=T.RULE, horizon=timedelta(minutes=10) + HOUR, by_hour=False
+    )
     started = runner.start_trend_upsert(
         trends, table, f"{root}/checkpoint", "stream_spike_upsert", mode="append", trigger=NOW
     )
     runner.run_available(started)
-    rows = table.read(spark).drop("updated_at", "window_date", "window_hour")
+    rows = table.read(spark).drop("updated_at", "window_date")
     return A.naive(rows, "window_start", "window_end", "last_seen")

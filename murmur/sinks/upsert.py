@@ -2,10 +2,10 @@
 
 Layout below ``root``::
 
-    table/window_date=D/window_hour=H   the metrics, one row per key
+    table/window_date=D[/window_hour=H] the metrics, one row per key
     incoming/batch_id=N                 the batch as it arrived
     keyless/batch_id=N                  rows without a full key, appended
-    staging/batch_id=N                  full new content of the touched hours
+    staging/batch_id=N                  full new content of the touched partitions
     tail/batch_id=N                     the windows later batches may still need
 
 Every step writes a folder named after the batch, and reads only finished ones,
@@ -25,7 +25,6 @@ from murmur.settings import TREND_WINDOW, WATERMARK_DELAY, SpikeRule
 from murmur.sinks import storage
 from murmur.sinks.files import replace_partitions
 
-PARTS = ("window_date", "window_hour")
 
 
 @dataclass(frozen=True)
@@ -33,12 +32,19 @@ class TrendTable:
     """A table of trend windows with spike fields, kept up to date batch by batch.
 
     ``horizon`` is how far behind the newest window end a window may still
-    change: watermark delay plus window length.
+    change: watermark delay plus window length.  A batch rewrites the table
+    partitions it touches, so minute windows are kept ``by_hour``; windows of an
+    hour or more are few enough for one partition per day.
     """
 
     root: str
     rule: SpikeRule = field(default_factory=SpikeRule)
     horizon: timedelta = WATERMARK_DELAY + TREND_WINDOW
+    by_hour: bool = True
+
+    @property
+    def parts(self) -> list[str]:
+        return ["window_date", "window_hour"] if self.by_hour else ["window_date"]
 
     @property
     def table(self) -> str:
@@ -71,7 +77,7 @@ class TrendTable:
             windows = keyed.unionByName(untouched.select(*keyed.columns))
             kept = history_tail(windows, self.horizon, self.rule)
             kept.write.mode("overwrite").parquet(tail)
-        replace_partitions(spark.read.parquet(staging), self.table, *PARTS)
+        replace_partitions(spark.read.parquet(staging), self.table, *self.parts)
         self._forget(spark, batch_id)
 
     # -- steps --------------------------------------------------------------
@@ -98,19 +104,18 @@ class TrendTable:
         return self.read(spark).select(*rows.columns)
 
     def _merged(self, spark: SparkSession, changed: DataFrame) -> DataFrame:
-        """New content of every hour that holds a changed row."""
-        placed = changed.withColumns(
-            {"window_date": F.to_date("window_start"), "window_hour": F.hour("window_start")}
-        )
+        """New content of every partition that holds a changed row."""
+        columns = {"window_date": F.to_date("window_start"), "window_hour": F.hour("window_start")}
+        placed = changed.withColumns({name: columns[name] for name in self.parts})
         if not storage.exists(spark, self.table):
             return placed
-        hours = placed.select(*PARTS).distinct()
-        first = hours.agg(F.min("window_date")).scalar()
-        last = hours.agg(F.max("window_date")).scalar()
+        touched = placed.select(*self.parts).distinct()
+        first = touched.agg(F.min("window_date")).scalar()
+        last = touched.agg(F.max("window_date")).scalar()
         kept = (
             self.read(spark)
             .where(F.col("window_date").between(first, last))
-            .join(F.broadcast(hours), list(PARTS), "left_semi")
+            .join(F.broadcast(touched), self.parts, "left_semi")
             .join(placed.select(*KEY), list(KEY), "left_anti")
         )
         return placed.unionByName(kept)
