@@ -27,11 +27,12 @@ def sentiment_scores(
     so what travels is one short row per post, never its text.  Posts without a
     known token score 0, posts without text NULL.
     """
-    words = posts.select(
+    split = posts.select(
         *keys,
         F.col(text_col).isNotNull().alias("_has_text"),
-        F.explode_outer(tokens(F.col(text_col))).alias("token"),
+        tokens(F.col(text_col)).alias("_tokens"),
     )
+    words = split.select(*keys, "_has_text", F.explode_outer("_tokens").alias("token"))
     rated = lexicon.select("token", F.col("valence").cast("decimal(8,4)").alias("_valence"))
     sums = (
         words.join(small_side(rated), "token", "left")

@@ -219,13 +219,12 @@ def top_series(df: DataFrame, n: int = 8) -> DataFrame:
     """Volume per time and hashtag, for the ``n`` busiest hashtags.
 
     The busiest tags are found on the per-time sums, so the table is read once.
-    The join side has ``n`` rows by its limit.
+    They are unique, so an inner join selects; a semi join would be moved below
+    the sums and read the table again.  That side has ``n`` rows by its limit.
     """
     series = df.groupBy("timestamp", "hashtag").agg(F.sum("count").alias("count"))
     busiest = top_tags(series, n).select("hashtag")
-    return series.join(F.broadcast(busiest), "hashtag", "left_semi").select(
-        "timestamp", "hashtag", "count"
-    )
+    return series.join(F.broadcast(busiest), "hashtag").select("timestamp", "hashtag", "count")
 
 
 def change_24h(df: DataFrame, as_of: Column | None = None) -> DataFrame:

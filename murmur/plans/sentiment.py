@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from murmur.operators import sentiment as S
+from murmur.operators.valence_rules import rule_scores
 from murmur.plans import adapters as A
 from murmur.plans.registry import query
 
@@ -65,3 +66,11 @@ def coin_sentiment_windows(spark, sf_dir):
     placed = scored.withColumns({"window_start": window.start, "window_end": window.end})
     metrics = S.coin_sentiment(placed, ["coin", "window_start", "window_end"])
     return A.naive(metrics, "window_start", "window_end")
+
+
+@query()
+def coin_fear_greed_rules(spark, sf_dir):
+    """Fear-and-greed score from scores with all context rules."""
+    posts = S.with_coin(A.document_posts(spark, sf_dir), "target_coin")
+    scored = rule_scores(posts, A.lexicon(spark, sf_dir), ["doc_id", "coin"])
+    return S.coin_sentiment(scored)

@@ -93,6 +93,15 @@ def read_documents(
     return df
 
 
+def read_lexicon(spark: SparkSession, path: str) -> DataFrame:
+    """A rated word list in the published layout: token, mean, deviation, ratings by tab."""
+    lines = spark.read.text(path).where(F.trim("value") != "")
+    parts = F.split("value", "\t")
+    return lines.select(
+        F.trim(parts[0]).alias("token"), parts[1].cast("double").alias("valence")
+    )
+
+
 def find(
     df: DataFrame, where: str, columns: list[str], order: str, limit: int
 ) -> DataFrame:

@@ -1,8 +1,11 @@
 import math
+import random
 
 import pytest
 
 from murmur.operators import sentiment as S
+from murmur.operators import valence_rules as R
+from murmur.sources.files import read_lexicon
 
 # Ratings of a few words in the published lexicon's scale.
 RATINGS = {"good": 1.9, "great": 3.1, "bad": -2.5, "terrible": -2.1}
@@ -44,3 +47,83 @@ def test_coin_metrics(spark):
     assert btc.fear_greed_score == pytest.approx((0.05 / 3 + 1) * 50)
     assert got["ETH"].fear_greed_score == 62.5
     assert got["SOL"].fear_greed_score is None and got["SOL"].bullish_ratio == 0.0
+
+
+# Ratings of the published lexicon, and published example scores.
+RULE_RATINGS = {
+    "smart": 1.7, "handsome": 2.2, "funny": 1.9, "good": 1.9, "great": 3.1, "bad": -2.5,
+    "horrible": -2.5, "sux": -1.5, "lol": 1.8, ":)": 2.0, ":d": 2.3, "uncompelling": -0.9, "kind": 2.4,
+}
+PUBLISHED = {
+    "VADER is smart, handsome, and funny.": 0.8316,
+    "VADER is smart, handsome, and funny!": 0.8439,
+    "VADER is very smart, handsome, and funny.": 0.8545,
+    "VADER is VERY SMART, handsome, and FUNNY.": 0.9227,
+    "VADER is VERY SMART, handsome, and FUNNY!!!": 0.9342,
+    "VADER is VERY SMART, really handsome, and INCREDIBLY FUNNY!!!": 0.9469,
+    "The book was good.": 0.4404,
+    "The book was kind of good.": 0.3832,
+    "The plot was good, but the characters are uncompelling and the dialog is not great.": -0.7042,
+    "A really bad, horrible book.": -0.8211,
+    "At least it isn't a horrible book.": 0.431,
+    ":) and :D": 0.7925,
+    "": 0.0,
+    "Today sux": -0.3612,
+    "Today sux!": -0.4199,
+    "Today SUX!": -0.5461,
+    "Today kinda sux! But I'll get by, lol": 0.2228,
+}
+
+
+@pytest.fixture(scope="module")
+def rated_words(spark, tmp_path_factory):
+    path = tmp_path_factory.mktemp("lexicon") / "lexicon.txt"
+    lines = [f"{token}\t{mean}\t0.5\t[1, 2]" for token, mean in RULE_RATINGS.items()]
+    path.write_text("\n".join(lines) + "\n")
+    return read_lexicon(spark, str(path)).cache()
+
+
+def rule_score(spark, lexicon, texts):
+    posts = spark.createDataFrame(list(enumerate(texts)), "id int, text string").repartition(3)
+    rows = R.rule_scores(posts, lexicon, ["id"]).orderBy("id").collect()
+    return [r.sentiment_score for r in rows]
+
+
+def test_published_examples(spark, rated_words):
+    assert rule_score(spark, rated_words, PUBLISHED) == list(PUBLISHED.values())
+
+
+def test_rules_beyond_the_examples(spark, rated_words):
+    cases = {
+        "no rated word here": 0.0,
+        None: None,
+        "never so good": score((1.9 + 0.293) * 1.5),
+        "good but bad BUT good": score(1.9 * (0.5 + 1.5) - 2.5 * 1.5),
+        "the least good": score(1.9 * -0.74),
+        "at least good": score(1.9),
+        "that was bad ass": score(-2.5),
+        "oh it was bad ass": score(1.5),
+        "good?": score(1.9),
+        "good??": score(1.9 + 0.36),
+        "good ????": score(1.9 + 0.96),
+        "good????": 0.0,
+        "bad !!!!!!": score(-2.5 - 4 * 0.292),
+        "..good": 0.0,
+        "without doubt good": score(1.9 * -0.74),
+    }
+    assert rule_score(spark, rated_words, cases) == list(cases.values())
+
+
+def test_large_lexicon_gives_the_same_scores(spark, rated_words, monkeypatch):
+    rng = random.Random(5)
+    pool = [*RULE_RATINGS, "not", "very", "but", "VERY", "GOOD", "book", "the", "so", "never", "good!"]
+    texts = [" ".join(rng.choice(pool) for _ in range(rng.randrange(1, 40))) for _ in range(60)]
+    expected = rule_score(spark, rated_words, texts)
+    monkeypatch.setattr(R, "small_side", lambda table: table.hint("merge"))
+    assert rule_score(spark, rated_words, texts) == expected
+
+
+def test_rules_read_the_text_once(spark, rated_words, tmp_path):
+    spark.createDataFrame([("a", "good")], "id string, text string").write.parquet(str(tmp_path / "p"))
+    plan = R.rule_scores(spark.read.parquet(str(tmp_path / "p")), rated_words, ["id"])
+    assert plan._jdf.queryExecution().executedPlan().toString().count("FileScan parquet") == 1
