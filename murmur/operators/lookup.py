@@ -14,9 +14,12 @@ def small_side(table: DataFrame, max_rows: int = MAX_BROADCAST_ROWS) -> DataFram
     A larger table is returned as it is: the join is then shuffled, and adaptive
     execution splits its skewed keys.  The result is the same either way.
     """
-    if table.limit(max_rows + 1).count() > max_rows:
-        return table
-    return F.broadcast(table)
+    return F.broadcast(table) if fits(table, max_rows) else table
+
+
+def fits(table: DataFrame, max_rows: int = MAX_BROADCAST_ROWS) -> bool:
+    """Does ``table`` have at most ``max_rows`` rows?  Counts no further than that."""
+    return table.limit(max_rows + 1).count() <= max_rows
 
 
 def active_directory(names: DataFrame, directory: DataFrame, key: str = "name") -> DataFrame:

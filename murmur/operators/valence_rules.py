@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from murmur.functions import scores
 from murmur.functions.text import normalize_text
-from murmur.operators.lookup import small_side
+from murmur.operators.lookup import fits
 
 # The published weights and word lists.
 BOOST = 0.293
@@ -163,15 +163,17 @@ def _rated(rows: DataFrame, lexicon: DataFrame) -> DataFrame:
     ratings = lexicon.select(
         F.col("token").alias("_token"), F.col("valence").cast("double").alias("valence")
     )
+    # One check serves all four joins, which have the same tokens on their small side.
+    mark = F.broadcast if fits(ratings) else (lambda table: table)
     boosts = F.coalesce(F.lower("word").isin(*BOOSTERS, *DAMPENERS), F.lit(False))
     joined = rows.where(~boosts).join(
-        small_side(ratings), F.lower("word") == F.col("_token"), "left"
+        mark(ratings), F.lower("word") == F.col("_token"), "left"
     )
     found = joined.where(F.col("valence").isNotNull() | F.col("word").isNull()).drop("_token")
     for step in (1, 2, 3):
         known = lexicon.select(F.col("token").alias("_token"), F.lit(True).alias(f"k{step}"))
         found = found.join(
-            small_side(known), F.lower(f"p{step}") == F.col("_token"), "left"
+            mark(known), F.lower(f"p{step}") == F.col("_token"), "left"
         ).drop("_token")
     return found
 

@@ -7,6 +7,7 @@ from datetime import timedelta
 from pyspark.sql import functions as F
 
 from murmur.functions.parse import iso_text
+from murmur.operators import market
 from murmur.operators import spikes as S
 from murmur.operators import trends as T
 from murmur.operators.dedupe import dedupe_latest
@@ -201,3 +202,53 @@ def window_lookup(spark, sf_dir):
         6,
     )
     return A.naive(rows, "window_end")
+
+
+_CATEGORIES = {"CLICK": ["VISIT", "ACTION"], "VIEW": ["VISIT"], "PURCHASE": ["ACTION"]}
+_CATEGORY_ROWS = [(symbol, name) for symbol, names in _CATEGORIES.items() for name in names]
+_CATEGORY_VALUES = ", ".join(f"('{symbol}', '{name}')" for symbol, name in _CATEGORY_ROWS)
+
+
+@query(
+    _with(
+        f"categories(sym, category) AS (VALUES {_CATEGORY_VALUES})",
+        "grouped AS (SELECT deduped.* REPLACE (category AS cashtags)"
+        " FROM deduped JOIN categories ON sym = cashtags)",
+        windows_sql("grouped", 1),
+        SPIKES_SQL,
+    )
+    + " SELECT symbol AS category, window_start, mention_count, growth_rate, is_spike FROM flagged"
+)
+def category_spikes(spark, sf_dir):
+    """Spikes of groups of symbols."""
+    categories = spark.createDataFrame(_CATEGORY_ROWS, "symbol string, category string")
+    grouped = market.category_mentions(A.mentions(spark, sf_dir), categories)
+    flagged = S.flag_spikes(T.windowed_trends(grouped, HOUR, HOUR), RULE)
+    rows = flagged.select(
+        F.col("symbol").alias("category"), "window_start", "mention_count", "growth_rate", "is_spike"
+    )
+    return A.naive(rows, "window_start")
+
+
+@query(
+    _with(
+        windows_sql("deduped", 1),
+        """ticks AS (
+          SELECT upper(event_type) AS symbol, date_trunc('hour', ts) AS window_start,
+                 first(value ORDER BY ts, value) AS opened, last(value ORDER BY ts, value) AS closed
+          FROM events GROUP BY ALL)""",
+    )
+    + """ SELECT symbol, count(*) AS windows,
+              cast(round(cast(corr(cast(mention_count AS DOUBLE), closed / opened - 1) AS DECIMAL(18, 12)), 8) AS DOUBLE) AS correlation
+       FROM windows JOIN ticks USING (symbol, window_start) GROUP BY symbol"""
+)
+def market_correlation(spark, sf_dir):
+    """Mentions against the price change of the same hour; event values serve as prices."""
+    prices = A.table(spark, sf_dir, "events").select(
+        F.upper("event_type").alias("symbol"),
+        F.col("ts").cast("timestamp").alias("timestamp"),
+        F.col("value").alias("price"),
+    )
+    result = market.market_correlation(_hourly(spark, sf_dir), market.price_windows(prices, HOUR))
+    exact = F.round(F.col("correlation").cast("decimal(18,12)"), 8).cast("double")
+    return result.withColumn("correlation", exact)

@@ -119,7 +119,8 @@ def test_large_lexicon_gives_the_same_scores(spark, rated_words, monkeypatch):
     pool = [*RULE_RATINGS, "not", "very", "but", "VERY", "GOOD", "book", "the", "so", "never", "good!"]
     texts = [" ".join(rng.choice(pool) for _ in range(rng.randrange(1, 40))) for _ in range(60)]
     expected = rule_score(spark, rated_words, texts)
-    monkeypatch.setattr(R, "small_side", lambda table: table.hint("merge"))
+    monkeypatch.setattr(R, "fits", lambda table: False)
+    monkeypatch.setattr(R.F, "broadcast", lambda table: pytest.fail("broadcast of a large table"))
     assert rule_score(spark, rated_words, texts) == expected
 
 
