@@ -52,11 +52,17 @@ def price_windows(prices: DataFrame, size: timedelta) -> DataFrame:
 def market_correlation(
     trends: DataFrame, prices: DataFrame, signal: str = "mention_count", against: str = "price_change"
 ) -> DataFrame:
-    """Correlation of a trend column with the price change of the same windows, per symbol."""
+    """Correlation of a trend column with the price change of the same windows, per symbol.
+
+    NULL where either side never varies; the built-in correlation would divide by zero.
+    """
     paired = trends.select("symbol", "window_start", signal).join(
         prices.select("symbol", "window_start", against), ["symbol", "window_start"]
     )
-    return paired.groupBy("symbol").agg(
-        F.count(against).alias("windows"),
-        F.corr(F.col(signal).cast("double"), against).alias("correlation"),
+    both = paired.where(F.col(signal).isNotNull() & F.col(against).isNotNull())
+    x, y = F.col(signal).cast("double"), F.col(against)
+    spread = F.stddev_pop(x) * F.stddev_pop(y)
+    return both.groupBy("symbol").agg(
+        F.count("*").alias("windows"),
+        (F.covar_pop(x, y) / F.nullif(spread, F.lit(0.0))).alias("correlation"),
     )

@@ -239,7 +239,8 @@ def category_spikes(spark, sf_dir):
           FROM events GROUP BY ALL)""",
     )
     + """ SELECT symbol, count(*) AS windows,
-              cast(round(cast(corr(cast(mention_count AS DOUBLE), closed / opened - 1) AS DECIMAL(18, 12)), 8) AS DOUBLE) AS correlation
+              cast(round(cast(covar_pop(cast(mention_count AS DOUBLE), closed / opened - 1)
+                   / nullif(stddev_pop(mention_count) * stddev_pop(closed / opened - 1), 0) AS DECIMAL(18, 12)), 8) AS DOUBLE) AS correlation
        FROM windows JOIN ticks USING (symbol, window_start) GROUP BY symbol"""
 )
 def market_correlation(spark, sf_dir):
