@@ -35,17 +35,18 @@ def trend_stream(
     slide: timedelta = TREND_SLIDE,
     delay: timedelta = WATERMARK_DELAY,
     exact: bool = False,
+    spread_ids: bool = True,
 ) -> DataFrame:
     """Trend windows of the valid posts.
 
     Default: sketched author counts, update mode.  ``exact``: exact counts,
-    append mode.
+    append mode.  ``spread_ids`` protects the dedupe from ids that repeat in bulk.
     """
     needed = valid_posts(normalized).select(
         "tweet_id", "cashtags", "user_id", "created_at", "engagement_score",
         "influence_score", "author_weight",
     )
-    mentions = explode_symbols(dedupe_first_in_stream(needed, delay=delay))
+    mentions = explode_symbols(dedupe_first_in_stream(needed, delay=delay, spread=spread_ids))
     metrics = streaming_trends_exact if exact else streaming_trends
     return metrics(mentions, size, slide)
 

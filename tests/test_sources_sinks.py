@@ -8,6 +8,7 @@ from murmur.schemas import ALERT, COLLECTOR_RECORD, SENTIMENT_METRIC, TREND_SPIK
 from murmur.session import build_session, scratch_path, shared_dir
 from murmur.sinks import documents as D
 from murmur.sinks import files, storage
+from murmur.sinks.console import show_stages
 from murmur.sources import kafka, payloads
 from murmur.sources import files as sources
 
@@ -164,3 +165,9 @@ def test_shared_folder(spark):
     first, second = scratch_path(spark, "x"), scratch_path(spark, "x")
     assert first != second and first.startswith(shared_dir(spark))
     assert build_session().conf.get("spark.sql.session.timeZone") == "UTC"
+
+
+def test_stage_preview(spark, capsys):
+    show_stages(2, clean=spark.range(3), trends=spark.range(1))
+    printed = capsys.readouterr().out
+    assert "=== clean ===" in printed and "only showing top 2 rows" in printed and "=== trends ===" in printed

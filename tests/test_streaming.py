@@ -169,3 +169,18 @@ def test_exact_counts_need_append_mode(spark, tmp_path):
     out = pipeline.trend_stream(pipeline.normalized_stream(stream_lines(spark, path)), exact=True)
     with pytest.raises(Exception, match="(?i)append|update"):
         runner.start_append(out, str(tmp_path / "out"), str(tmp_path / "cp"), "bad", "update", NOW)
+
+
+@pytest.mark.parametrize("spread", [True, False])
+def test_hot_id_in_one_batch(spark, tmp_path, spread):
+    batches = [
+        [post("hot", START, "BTC", "a", 1)] * 50 + [post(f"{f}-{i}", START, "ETH", "b", 1) for i in range(20)]
+        for f in range(6)
+    ]
+    path = write_files(tmp_path / "in", batches)
+    normalized = pipeline.normalized_stream(stream_lines(spark, path, files_per_trigger=None))
+    posts = dedupe.dedupe_first_in_stream(P.valid_posts(normalized), spread=spread).select("tweet_id")
+    runner.run_available(
+        runner.start_append(posts, str(tmp_path / "out"), str(tmp_path / "cp"), f"hot{spread}", "append", NOW))
+    ids = [r.tweet_id for r in spark.read.parquet(str(tmp_path / "out")).collect()]
+    assert len(ids) == len(set(ids)) == 121

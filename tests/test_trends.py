@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from murmur.operators import dedupe
 from murmur.operators import posts as P
 from murmur.operators import trends as T
+from murmur.schemas import BAD_RECORD_ROW, TREND_WINDOW_ROW
 from murmur.sources.files import read_lines, read_posts
 from tests import sample
 
@@ -34,7 +35,9 @@ def test_first_arrival_windows(spark, sample_posts):
     first = dedupe.dedupe_latest(
         sample_posts.withColumn("_back", -F.unix_micros("created_at")), time="_back"
     )
-    rows = T.windowed_trends(P.explode_symbols(first)).collect()
+    windows = T.windowed_trends(P.explode_symbols(first))
+    assert set(windows.dtypes) == set(spark.createDataFrame([], TREND_WINDOW_ROW).dtypes)
+    rows = windows.collect()
     assert len(rows) == sample.ALL_WINDOW_ROWS
     window = {r.symbol: sample.metrics(r) for r in rows if r.window_start == START}
     assert window == sample.FIRST_WINDOW
@@ -122,5 +125,6 @@ def test_totals_need_no_expand(spark):
 def test_rejected_per_window(spark):
     rows = [(START, "bad_json"), (START + 4 * MINUTE, "bad_json"), (START + 5 * MINUTE, "bad_json")]
     df = spark.createDataFrame(rows, "observed_at timestamp, invalid_reason string")
+    assert T.rejected_by_window(df).dtypes == spark.createDataFrame([], BAD_RECORD_ROW).dtypes
     got = {(r.window_start, r.bad_record_count) for r in T.rejected_by_window(df).collect()}
     assert got == {(START, 2), (START + 5 * MINUTE, 1)}
