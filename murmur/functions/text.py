@@ -9,6 +9,7 @@ from murmur.settings import CASHTAG_PATTERN, WHALE_SIGNAL
 
 # Unicode separators and the control characters that count as white space.
 _BLANKS = r"[\s\x1c-\x1f\x85\p{Z}]+"
+_INK = r"[^\s\x1c-\x1f\x85\p{Z}]"
 
 
 def normalize_text(col: Column) -> Column:
@@ -18,8 +19,13 @@ def normalize_text(col: Column) -> Column:
 
 
 def first_text(*cols: Column) -> Column:
-    """The first column that is not blank, normalised; NULL if all are blank."""
-    return F.coalesce(*[F.nullif(normalize_text(c), F.lit("")) for c in cols])
+    """The first column that is not blank, normalised; NULL if all are blank.
+
+    Choosing first and normalising after means one pass over one text.
+    """
+    candidates = [c.cast("string") for c in cols]
+    chosen = F.coalesce(*[F.when(c.rlike(_INK), c) for c in candidates])
+    return F.trim(F.regexp_replace(chosen, _BLANKS, " "))
 
 
 def no_strings() -> Column:
@@ -39,7 +45,7 @@ def _clean_tags(tags: Column) -> Column:
 
 def ensure_list(tags: Column) -> Column:
     """An array column as clean upper-case tags; NULL becomes an empty array."""
-    return F.coalesce(_clean_tags(tags), no_strings())
+    return F.when(F.size(tags) > 0, _clean_tags(tags)).otherwise(no_strings())
 
 
 def ensure_list_from_json(tags: Column) -> Column:

@@ -11,6 +11,16 @@ from murmur.schemas import CLEAN_POST, RAW_POST
 from murmur.settings import MARKET_WEIGHT, WHALE_AUTHORS, WHALE_SIGNAL, WHALE_WEIGHT
 
 _CORRUPT = "_corrupt"
+_TAG_LISTS = ("hashtags", "cashtags")
+
+
+def _message_schema() -> T.StructType:
+    """Raw posts with real tag arrays, so that a message is parsed just once."""
+    fields = [
+        T.StructField(f.name, T.ArrayType(T.StringType()) if f.name in _TAG_LISTS else f.dataType)
+        for f in RAW_POST.fields
+    ]
+    return T.StructType([*fields, T.StructField(_CORRUPT, T.StringType())])
 
 
 def parse_posts(raw: DataFrame, value: str = "value") -> DataFrame:
@@ -18,23 +28,34 @@ def parse_posts(raw: DataFrame, value: str = "value") -> DataFrame:
 
     All other columns of ``raw`` are kept.  ``bad_json`` marks messages that are
     empty or not a JSON object; ``from_json`` alone gives a struct of NULLs for
-    those, so the corrupt-record column is what tells them apart.
+    those, so the corrupt-record column is what tells them apart.  That column is
+    also set if a tag list is a lone scalar; only then the list is read again.
     """
-    schema = T.StructType([*RAW_POST.fields, T.StructField(_CORRUPT, T.StringType(), True)])
     options = {"columnNameOfCorruptRecord": _CORRUPT}
     message = F.col(value).cast("string")
     kept = [c for c in raw.columns if c != value]
-    # Python's json module takes only objects that start with a brace; a bare
-    # scalar or an array is no post either.
     parsed = raw.select(
-        *kept, message.alias("raw_json"), F.from_json(message, schema, options).alias("post")
+        *kept,
+        message.alias("raw_json"),
+        F.from_json(message, _message_schema(), options).alias("post"),
     )
-    post = [F.col(f"post.{name}") for name in RAW_POST.names]
+    corrupt = F.col(f"post.{_CORRUPT}").isNotNull()
     is_object = F.coalesce(F.ltrim(F.col("raw_json")).startswith("{"), F.lit(False))
-    bad = ~is_object | (
-        F.col(f"post.{_CORRUPT}").isNotNull() & F.coalesce(*post).isNull()
+    nothing = F.coalesce(*[F.col(f"post.{n}").cast("string") for n in RAW_POST.names]).isNull()
+
+    def field(name: str) -> Column:
+        if name not in _TAG_LISTS:
+            return F.col(f"post.{name}").alias(name)
+        lone = F.when(corrupt, F.get_json_object("raw_json", f"$.{name}"))
+        lone = F.when(lone.isNotNull(), F.array(lone))
+        return F.coalesce(F.col(f"post.{name}"), lone).alias(name)
+
+    return parsed.select(
+        *kept,
+        "raw_json",
+        *[field(n) for n in RAW_POST.names],
+        (~is_object | (corrupt & nothing)).alias("bad_json"),
     )
-    return parsed.select(*kept, "raw_json", *post, bad.alias("bad_json"))
 
 
 def parsed_only(parsed: DataFrame) -> DataFrame:
@@ -114,7 +135,10 @@ def normalize_posts(
     # A column of its own, so that the text is searched once and only if needed.
     searched = fields.withColumn(
         "text_symbols",
-        F.when(F.size("array_symbols") == 0, text.extract_cashtags(F.col("content"))),
+        F.when(
+            (F.size("array_symbols") == 0) & F.col("content").contains("$"),
+            text.extract_cashtags(F.col("content")),
+        ),
     )
     symbols = text.first_non_empty(
         F.col("array_symbols"), F.col("text_symbols"), text.target_symbols(F.col("target"))
