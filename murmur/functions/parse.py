@@ -51,15 +51,20 @@ def parse_instant(col: Column, api_format: bool = False) -> Column:
     return F.coalesce(iso, F.when(text.rlike(_API_TIME), F.try_to_timestamp(rebuilt)))
 
 
+#: Counts and weights beyond these are not believed: sums of them could leave their types.
+MOST_COUNT, MOST_WEIGHT = 10**12, 1e6
+
+
 def parse_int(col: Column, default: int = 0) -> Column:
-    """Text as a whole number, else ``default``.
+    """Text as a whole number of at most ``MOST_COUNT`` either way, else ``default``.
 
     The pattern keeps unreadable text away from the cast, which would raise and
     catch an exception for each such row.
     """
     text = col.cast("string")
     number = F.when(text.rlike(_INTEGER), text.try_cast("bigint"))
-    return F.coalesce(number, F.lit(default).cast("bigint"))
+    believed = F.when(number.between(-MOST_COUNT, MOST_COUNT), number)
+    return F.coalesce(believed, F.lit(default).cast("bigint"))
 
 
 def parse_float(col: Column, default: Column | float | None = 1.0) -> Column:
@@ -73,13 +78,24 @@ def parse_float(col: Column, default: Column | float | None = 1.0) -> Column:
     return F.coalesce(finite, fallback)
 
 
+def parse_weight(col: Column) -> Column:
+    """Text as a weight of at most ``MOST_WEIGHT`` either way, else NULL."""
+    number = parse_float(col, None)
+    return F.when(number.between(-MOST_WEIGHT, MOST_WEIGHT), number)
+
+
+def utc(col: Column) -> Column:
+    """An instant's wall clock in UTC, whatever the session's zone."""
+    return F.to_utc_timestamp(col, F.current_timezone())
+
+
 def partition_date(col: Column) -> Column:
-    return F.to_date(col)
+    return F.to_date(utc(col))
 
 
 def partition_hour(col: Column) -> Column:
-    """Two-digit hour text, as used in directory names."""
-    return F.date_format(col, "HH")
+    """Two-digit hour text in UTC, as used in directory names."""
+    return F.date_format(utc(col), "HH")
 
 
 def iso_text(col: Column) -> Column:

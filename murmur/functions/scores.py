@@ -32,16 +32,15 @@ def trend_score(
     The terms are put over the common divisor 20 and summed as decimals, so the
     only rounding is the last one and ties round the same way everywhere.
     """
-    whole = (mentions * 40 + authors * 20 + engagement_score * 2 + influencers * 60).cast(
-        "decimal(20,0)"
-    )
-    twentieths = whole + influence_score.cast("decimal(28,8)")
+    wide = engagement_score.cast("decimal(20,0)") * 2
+    whole = ((mentions * 40 + authors * 20 + influencers * 60).cast("decimal(20,0)") + wide).cast("decimal(22,0)")
+    twentieths = whole + influence_score.try_cast("decimal(33,8)")
     return F.round(twentieths * F.lit("0.05").cast("decimal(3,2)"), 2).cast("double")
 
 
 def trend_score_short(mentions: Column, authors: Column, engagement_score: Column) -> Column:
     """2·mentions + authors + engagement/10, 2 dp."""
-    tenths = (mentions * 20 + authors * 10 + engagement_score).cast("decimal(20,0)")
+    tenths = ((mentions * 20 + authors * 10).cast("decimal(20,0)") + engagement_score).cast("decimal(22,0)")
     return F.round(tenths * F.lit("0.1").cast("decimal(2,1)"), 2).cast("double")
 
 

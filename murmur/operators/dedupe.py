@@ -28,7 +28,7 @@ def dedupe_first_in_stream(
     key: str = "tweet_id",
     time: str = "created_at",
     delay: timedelta = WATERMARK_DELAY,
-    spread: bool = True,
+    spread: bool = False,
 ) -> DataFrame:
     """Streaming form: the first arrival wins, and state is dropped behind the watermark.
 
@@ -36,7 +36,8 @@ def dedupe_first_in_stream(
     where the batch form keeps the latest.  ``spread`` first removes duplicates
     per (key, input partition): a key that holds a large part of a batch then
     meets in one task as one row per input partition.  It costs a second state
-    entry per key; turn it off where ids are known to repeat rarely.
+    entry per key, and a repeat later than the delay may pass or not by the
+    partition it arrives in, so it is off unless asked for.
     """
     marked = df.withWatermark(time, interval(delay))
     if not spread:

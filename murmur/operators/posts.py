@@ -130,7 +130,7 @@ def normalize_posts(
         parse.parse_int(F.col("reply_count")).alias("reply_count"),
         F.coalesce(F.lower(text.first_text(F.col("lang"))), F.lit("und")).alias("lang"),
         F.lower(text.first_text(F.col("author_type"))).alias("given_type"),
-        parse.parse_float(F.col("author_weight"), None).alias("given_weight"),
+        parse.parse_weight(F.col("author_weight")).alias("given_weight"),
     )
     # A column of its own, so that the text is searched once and only if needed.
     searched = fields.withColumn(

@@ -8,11 +8,12 @@ from pyspark.sql import functions as F
 from murmur.functions import scores, text
 from murmur.operators.lookup import small_side
 
-TOKEN_PATTERN = r"[a-z]{2,}"
+#: Letters of any script with their marks, and apostrophes between letters.
+TOKEN_PATTERN = r"[\p{L}\p{M}]+(?:['’][\p{L}\p{M}]+)*"
 
 
 def tokens(col: Column) -> Column:
-    """Lower-case words of at least two letters, in order."""
+    """Lower-case words, in order."""
     return F.regexp_extract_all(F.lower(col), F.lit(TOKEN_PATTERN), F.lit(0))
 
 

@@ -19,7 +19,7 @@ def _author_facts() -> list[Column]:
     """Additive facts of one author's mentions of one symbol."""
     return [
         F.count("*").alias("mentions"),
-        F.sum("engagement_score").alias("engagement"),
+        F.try_sum("engagement_score").alias("engagement"),
         F.sum("influence_score").alias("influence"),
         F.max("author_weight").alias("weight"),
         F.max("created_at").alias("last_seen"),
@@ -32,7 +32,7 @@ def _symbol_metrics(authors: Column, influencers: Column) -> list[Column]:
         F.sum("mentions").alias("mention_count"),
         authors.alias("unique_authors"),
         influencers.alias("influencer_authors"),
-        F.sum("engagement").alias("engagement_score"),
+        F.try_sum("engagement").alias("engagement_score"),
         F.sum("influence").alias("_influence"),
         F.max("weight").alias("max_author_weight"),
         F.max("last_seen").alias("last_seen"),
@@ -87,14 +87,14 @@ def trend_totals_short(mentions: DataFrame) -> DataFrame:
     """Mentions, exact authors, engagement and the short score per symbol."""
     per_author = mentions.groupBy("symbol", "user_id").agg(
         F.count("*").alias("mentions"),
-        F.sum("engagement_score").alias("engagement"),
+        F.try_sum("engagement_score").alias("engagement"),
         F.max("created_at").alias("seen"),
     )
     return _short(
         per_author.groupBy("symbol").agg(
             F.sum("mentions").alias("mention_count"),
             F.count("user_id").alias("unique_authors"),
-            F.sum("engagement").alias("engagement_score"),
+            F.try_sum("engagement").alias("engagement_score"),
             F.max("seen").alias("last_seen"),
         )
     )
@@ -106,7 +106,7 @@ def trend_totals_approx(mentions: DataFrame, rsd: float = 0.05) -> DataFrame:
         mentions.groupBy("symbol").agg(
             F.count("*").alias("mention_count"),
             F.approx_count_distinct("user_id", rsd).alias("unique_authors"),
-            F.sum("engagement_score").alias("engagement_score"),
+            F.try_sum("engagement_score").alias("engagement_score"),
             F.max("created_at").alias("last_seen"),
         )
     )
@@ -219,7 +219,7 @@ def streaming_trends(
         F.approx_count_distinct(
             F.when(_is_influencer(F.col("author_weight")), F.col("user_id")), rsd
         ).alias("influencer_authors"),
-        F.sum("engagement_score").alias("engagement_score"),
+        F.try_sum("engagement_score").alias("engagement_score"),
         F.sum("influence_score").alias("_influence"),
         F.max("author_weight").alias("max_author_weight"),
         F.max("created_at").alias("last_seen"),

@@ -143,12 +143,12 @@ def day_bounds(df: DataFrame) -> DataFrame:
 def sentiment_histogram(
     df: DataFrame, bins: int = 50, low: float = -1.0, high: float = 1.0
 ) -> DataFrame:
-    """Rows per equal-width bin; the upper edge belongs to the last bin."""
+    """Rows per equal-width bin; scores outside the range belong to the first and last bin."""
     score = F.col("sentiment")
     raw = F.floor((score - low) * bins / (high - low))
     bin_no = F.least(F.greatest(raw, F.lit(0)), F.lit(bins - 1))
     return (
-        df.where(score.between(low, high))
+        df.where(score.isNotNull())
         .groupBy(bin_no.alias("bin"))
         .agg(F.count("*").alias("rows"))
     )

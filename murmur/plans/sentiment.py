@@ -9,7 +9,7 @@ from murmur.operators.valence_rules import rule_scores
 from murmur.plans import adapters as A
 from murmur.plans.registry import query
 
-_TOKENS = "unnest(regexp_extract_all(lower(text), '[a-z]{2,}'))"
+_TOKENS = r"unnest(regexp_extract_all(lower(text), '[\p{L}\p{M}]+(?:[''’][\p{L}\p{M}]+)*'))"
 LEXICON_SQL = f"""lexicon AS (
   SELECT token, cast(((length(token) * 5 + ascii(token)) % 17 - 8) / 2.0 AS DECIMAL(8, 4)) AS valence
   FROM (SELECT DISTINCT {_TOKENS} AS token FROM benchmark)

@@ -40,6 +40,5 @@ def alert_documents(alerts: DataFrame) -> DataFrame:
 
 
 def append_documents(df: DataFrame, path: str, fmt: str = "parquet") -> None:
-    """Append; an empty input adds nothing."""
-    if not df.isEmpty():
-        df.write.format(fmt).mode("append").save(path)
+    """Append; an empty input adds no rows.  The input is evaluated once."""
+    df.write.format(fmt).mode("append").save(path)

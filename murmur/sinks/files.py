@@ -25,9 +25,8 @@ def write_json(df: DataFrame, path: str, overwrite: bool = True) -> None:
 
 
 def append_json(df: DataFrame, path: str) -> None:
-    """Append rows; an empty input leaves the path as it is."""
-    if not df.isEmpty():
-        df.write.mode("append").json(path)
+    """Append rows; an empty input adds none.  The input is evaluated once."""
+    df.write.mode("append").json(path)
 
 
 def raw_layout(df: DataFrame, coin: Column, time: Column | None = None) -> DataFrame:

@@ -3,13 +3,16 @@
 Layout below ``root``::
 
     table/window_date=D[/window_hour=H] the metrics, one row per key
-    incoming/batch_id=N                 the batch as it arrived
-    keyless/batch_id=N                  rows without a full key, appended
-    staging/batch_id=N                  full new content of the touched partitions
-    tail/batch_id=N                     the windows later batches may still need
-
-Every step writes a folder named after the batch, and reads only finished ones,
-so a batch that is run again after a failure gives the same table.
+    keyless/query=Q/batch_id=N          rows without a full key, appended
+    work/query=Q/incoming/batch_id=N    the batch as it arrived
+    work/query=Q/staging/batch_id=N     full new content of the touched partitions
+    work/query=Q/tail/batch_id=N        the windows later batches may still need
+
+Q is the streaming query's id, so another query on the same root takes no part
+of this one's batches.  Every step writes a folder named after the batch, and
+reads only finished ones, so a batch that is run again after a failure gives the
+same table.  The batch itself is always evaluated, as its stateful operators must
+commit whenever a batch is run.  A query without a tail starts from the table.
 """
 
 from __future__ import annotations
@@ -20,13 +23,13 @@ from datetime import timedelta
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from murmur.functions.parse import utc
 from murmur.operators.spikes import KEY, history_tail, refresh_spikes, stamp
 from murmur.settings import TREND_WINDOW, WATERMARK_DELAY, SpikeRule
 from murmur.sinks import storage
 from murmur.sinks.files import replace_partitions
 
 
-
 @dataclass(frozen=True)
 class TrendTable:
     """A table of trend windows with spike fields, kept up to date batch by batch.
@@ -56,22 +59,21 @@ class TrendTable:
     def write_batch(self, batch: DataFrame, batch_id: int) -> None:
         """The ``foreachBatch`` function."""
         spark = batch.sparkSession
-        incoming = self._path("incoming", batch_id)
-        if not storage.complete(spark, incoming):
-            batch.write.mode("overwrite").parquet(incoming)
+        incoming = self._path(spark, "incoming", batch_id)
+        batch.write.mode("overwrite").parquet(incoming)
         rows = spark.read.parquet(incoming)
         if rows.isEmpty():
             return
         keyless = rows.where(~has_key())
         if not keyless.isEmpty():
-            append_batch(stamp(keyless), batch_id, f"{self.root}/keyless")
+            append_batch(stamp(keyless), batch_id, f"{self.root}/keyless/query={query_id(spark)}")
         keyed = one_per_key(rows.where(has_key()))
         history = self._history(spark, keyed, batch_id)
-        staging = self._path("staging", batch_id)
+        staging = self._path(spark, "staging", batch_id)
         if not storage.complete(spark, staging):
             changed = stamp(refresh_spikes(keyed, history, self.rule))
             self._merged(spark, changed).write.mode("overwrite").parquet(staging)
-        tail = self._path("tail", batch_id)
+        tail = self._path(spark, "tail", batch_id)
         if not storage.complete(spark, tail):
             untouched = history.join(keyed.select(*KEY), list(KEY), "left_anti")
             windows = keyed.unionByName(untouched.select(*keyed.columns))
@@ -82,20 +84,25 @@ class TrendTable:
 
     # -- steps --------------------------------------------------------------
 
-    def _path(self, kind: str, batch_id: int) -> str:
-        return f"{self.root}/{kind}/batch_id={batch_id}"
+    def _folder(self, spark: SparkSession, kind: str) -> str:
+        return f"{self.root}/work/query={query_id(spark)}/{kind}"
+
+    def _path(self, spark: SparkSession, kind: str, batch_id: int) -> str:
+        return f"{self._folder(spark, kind)}/batch_id={batch_id}"
 
     def _finished(self, spark: SparkSession, kind: str) -> list[int]:
-        names = storage.children(spark, f"{self.root}/{kind}")
+        names = storage.children(spark, self._folder(spark, kind))
         ids = [int(n.split("=")[1]) for n in names if n.startswith("batch_id=")]
-        return sorted(i for i in ids if storage.complete(spark, self._path(kind, i)))
+        return sorted(i for i in ids if storage.complete(spark, self._path(spark, kind, i)))
 
     def _history(self, spark: SparkSession, rows: DataFrame, batch_id: int) -> DataFrame:
         """Stored windows that bear on ``rows``: the tail, or all if some rows are older."""
         earlier = [i for i in self._finished(spark, "tail") if i < batch_id]
         if not earlier:
-            return rows.limit(0)
-        tail = spark.read.parquet(self._path("tail", earlier[-1]))
+            if not storage.exists(spark, self.table):
+                return rows.limit(0)
+            return self.read(spark).select(*rows.columns)
+        tail = spark.read.parquet(self._path(spark, "tail", earlier[-1]))
         floor = tail.agg(F.max("window_end")).scalar() - F.expr(
             f"INTERVAL '{self.horizon.total_seconds():.6f}' SECOND"
         )
@@ -105,7 +112,8 @@ class TrendTable:
 
     def _merged(self, spark: SparkSession, changed: DataFrame) -> DataFrame:
         """New content of every partition that holds a changed row."""
-        columns = {"window_date": F.to_date("window_start"), "window_hour": F.hour("window_start")}
+        start = utc(F.col("window_start"))
+        columns = {"window_date": F.to_date(start), "window_hour": F.hour(start)}
         placed = changed.withColumns({name: columns[name] for name in self.parts})
         if not storage.exists(spark, self.table):
             return placed
@@ -125,9 +133,14 @@ class TrendTable:
         for kind in ("incoming", "staging"):
             for old in self._finished(spark, kind):
                 if old < batch_id:
-                    storage.delete(spark, self._path(kind, old))
+                    storage.delete(spark, self._path(spark, kind, old))
         for old in self._finished(spark, "tail")[:-2]:
-            storage.delete(spark, self._path("tail", old))
+            storage.delete(spark, self._path(spark, "tail", old))
+
+
+def query_id(spark: SparkSession) -> str:
+    """The id of the streaming query that runs this batch; ``none`` outside of one."""
+    return spark.sparkContext.getLocalProperty("sql.streaming.queryId") or "none"
 
 
 def has_key() -> Column:

@@ -1,82 +1,109 @@
-"""A small stream of posts with planted cases, and what must come out of it."""
+"""Posts with planted cases, and what a plain reading of them gives."""
 
 import json
+from collections import defaultdict
+from datetime import datetime, timedelta
 
-# Fixed values: (line, dialect, id, time, author, symbols in text, tag list or
-# target, likes, retweets, replies, extra fields).  Times are on 2026-04-18 UTC.
-_FACTS = [
-    ("A", "1001", "08:00:00", "u001", "$BTC", ["BTC"], 18, 4, 2, {"lang": "en"}),
-    ("A", "1002", "08:00:25", "u002", "$ETH $SOL", [], 9, 2, 1, {}),
-    ("A", "1003", "08:01:10", "u003", "", [], 1, 0, 0, {}),
-    ("A", "1004", "08:01:40", "u004", "$BTC", ["btc"], 21, 5, 3, {"lang": "EN"}),
-    ("A", "1002", "08:02:25", "u002", "$ETH $SOL", ["ETH", "SOL"], 14, 3, 1, {}),
-    ("A", "1005", "08:02:55", "u005", "$DOGE", ["DOGE"], 11, 7, 4, {}),
-    ("A", "1006", "bad-date", "u006", "$XRP", ["XRP"], 5, 1, 0, {}),
-    ("A", "1007", "08:03:20", "u007", "$BTC", ["BTC"], "30", "8", "2", {}),
-    ("B", "2001", "08:03:50", "market_user_1", "$AVAX", "$AVAX", "7", "3", "1", {}),
-    ("B", "2002", "08:04:10", "market_user_2", "", "$SOL", "4", "1", "0", {}),
-    ("B", "2003", "08:04:30", "saylor", "$BTC", "WHALE_SIGNAL", "55", "18", "6", {}),
-    ("B", "2004", "08:04:45", "VitalikButerin", "$ETH", "WHALE_SIGNAL", "42", "15", "5", {}),
-    ("B", "2005", "08:05:00", "koc_researcher", "$TIA", "$TIA", "12", "4", "2",
-     {"author_type": "koc", "author_weight": "1.5"}),
-    ("A", "1008", "08:05:20", "u008", "$link", [], 6, 2, 1, {}),
-    ("B", "2006", "08:05:40", "market_user_3", "", None, "3", "0", "0", {}),
-    ("B", "2007", "not-a-date", "market_user_4", "$XRP", "$XRP", "9", "2", "1", {}),
-    ("B", "2001", "08:06:10", "market_user_1", "$AVAX", "$AVAX", "10", "5", "2", {}),
-    ("A", "1009", "08:06:30", "u009", "$ARB", ["ARB"], 8, 3, 1,
-     {"author_type": "kol", "author_weight": "3.0"}),
+START = datetime(2025, 11, 3, 14)
+MINUTE = timedelta(minutes=1)
+
+
+def post(kind, post_id, seconds, author, mentions, likes=0, shares=0, replies=0, weight=1.0, tags=None, **more):
+    """One post: ``seconds`` after START (None: an unreadable time) and the symbols it mentions."""
+    return locals()
+
+
+POSTS = [
+    post("B", "n-30", 15, "reader_a", ["NEAR"], 6, 1, 2, target="$NEAR"),
+    post("A", "n-31", 20, "w1", ["ADA"], 3, 0, 1, tags=["ADA"], lang="PT"),
+    post("A", "n-32", 45, "w2", ["ADA", "DOT"], 12, 4, 0),
+    post("A", "n-33", None, "w3", ["UNI"], 2, tags=["UNI"]),
+    post("B", "n-34", 70, "elonmusk", ["ADA"], "31", "9", "5", 5.0, target="WHALE_SIGNAL"),
+    post("A", "n-32", 130, "w2", ["ADA", "DOT"], 17, 6, 3, tags=["ada", "dot"]),
+    post("A", "n-35", 150, "w4", []),
+    post("B", "n-36", 165, "reader_b", ["DOT"], "8", "0", "x", target="$DOT", silent=True),
+    post("A", "n-37", 200, "w5", ["ATOM"], "25", "5", "6", tags=["ATOM"]),
+    post("A", "n-38", 215, "w1", ["ADA"], 1, 1, 1, 2.0, tags=["Ada"], author_type="kol", author_weight="2.0"),
+    post("B", "n-30", 320, "reader_a", ["NEAR"], 11, 2, 2, target="$NEAR"),
+    post("B", "n-39", 340, "Whale_Alert", ["NEAR"], 70, 20, 4, 5.0, target="WHALE_SIGNAL"),
+    post("A", "n-40", 360, "w6", ["ALGO"], 4, 2, 0, lower=True),
+    post("B", "n-41", 380, "reader_c", [], "3"),
+    post("B", "n-42", 400, "reader_d", [], "3"),
+    post("A", "n-43", 430, "w7", ["DOT"], 9, 0, 0, tags=["DOT"]),
 ]
 
 
-def record(dialect, post_id, time, author, symbols, tags, likes, retweets, replies, extra):
-    when = f"2026-04-18T{time}Z" if time[0].isdigit() else time
-    words = f"a note  about {symbols}".strip()
-    counts = {"like_count": likes, "retweet_count": retweets, "reply_count": replies}
-    if dialect == "A":
-        body = {"tweet_id": post_id, "user_id": author, "username": f"name of {author}",
-                "content": words, "cashtags": tags, "hashtags": ["Note"]}
+def message(p):
+    symbols = " ".join("$" + (s.lower() if p["more"].get("lower") else s) for s in p["mentions"])
+    words = "thoughts" if p["more"].get("silent") else f"thoughts  on {symbols}".strip()
+    at = "yesterday" if p["seconds"] is None else (START + timedelta(seconds=p["seconds"])).isoformat() + "Z"
+    body = {"created_at": at, "like_count": p["likes"], "retweet_count": p["shares"], "reply_count": p["replies"]}
+    if p["kind"] == "A":
+        body |= {"tweet_id": p["post_id"], "user_id": p["author"], "username": "user " + p["author"], "content": words}
+        body |= {"cashtags": p["tags"] or [], "hashtags": []}
     else:
-        body = {"id": post_id, "author": author, "text": words}
-        if tags is not None:
-            body["target_coin"] = tags
-    return {**body, "created_at": when, **counts, **extra}
-
-
-LINES = [json.dumps(record(*facts)) for facts in _FACTS]
-
-# symbol: mentions, authors, influencers, engagement, influence, weight, trend, last seen
-LATEST_TOTALS = {
-    "BTC": (4, 4, 1, 172, 488.0, 5.0, 56.6, "08:04:30"),
-    "ETH": (2, 2, 1, 80, 328.0, 5.0, 33.4, "08:04:45"),
-    "SOL": (2, 2, 0, 23, 23.0, 1.0, 9.45, "08:04:10"),
-    "TIA": (1, 1, 1, 18, 27.0, 1.5, 9.15, "08:05:00"),
-    "ARB": (1, 1, 1, 12, 36.0, 3.0, 9.0, "08:06:30"),
-    "DOGE": (1, 1, 0, 22, 22.0, 1.0, 6.3, "08:02:55"),
-    "AVAX": (1, 1, 0, 17, 17.0, 1.0, 5.55, "08:06:10"),
-    "LINK": (1, 1, 0, 9, 9.0, 1.0, 4.35, "08:05:20"),
-}
+        body |= {"id": p["post_id"], "author": p["author"], "text": words}
+    named = {"target": "target_coin", "lang": "lang", "author_type": "author_type", "author_weight": "author_weight"}
+    return body | {named[k]: v for k, v in p["more"].items() if k in named}
 
-# The same for first arrivals in the window from 08:00 to 08:05.
-FIRST_WINDOW = {
-    "BTC": (4, 4, 1, 172, 488.0, 5.0, 56.6, "08:04:30"),
-    "ETH": (2, 2, 1, 74, 322.0, 5.0, 32.5, "08:04:45"),
-    "SOL": (2, 2, 0, 17, 17.0, 1.0, 8.55, "08:04:10"),
-    "DOGE": (1, 1, 0, 22, 22.0, 1.0, 6.3, "08:02:55"),
-    "AVAX": (1, 1, 0, 11, 11.0, 1.0, 4.65, "08:03:50"),
-}
-ALL_WINDOW_ROWS = 52
-
-# symbol: mentions, authors, engagement, trend
-STRICT_TOTALS = {
-    "BTC": (3, 3, 93, 18.3),
-    "DOGE": (1, 1, 22, 5.2),
-    "ETH": (1, 1, 18, 4.8),
-    "SOL": (1, 1, 18, 4.8),
-    "ARB": (1, 1, 12, 4.2),
-}
 
-FUNNEL = (18, 18, 14, 12)
-REJECTED = {"missing_symbol": 2, "bad_timestamp": 2}
+LINES = [json.dumps(message(p)) for p in POSTS]
+
+
+def _number(value):
+    return int(value) if str(value).isdigit() else 0
+
+
+def _engagement(p):
+    return sum(_number(p[n]) for n in ("likes", "shares", "replies"))
+
+
+def _first(posts):
+    """The first post of each id."""
+    seen = {}
+    for p in posts:
+        seen.setdefault(p["post_id"], p)
+    return list(seen.values())
+
+
+def _totals(posts):
+    """symbol: mentions, authors, influencers, engagement, influence, weight, trend, last seen."""
+    by_symbol = defaultdict(list)
+    for p in posts:
+        for symbol in p["mentions"]:
+            by_symbol[symbol].append(p)
+    out = {}
+    for symbol, own in by_symbol.items():
+        authors, strong = {p["author"] for p in own}, {p["author"] for p in own if p["weight"] > 1}
+        engaged = sum(map(_engagement, own))
+        influence = sum(p["weight"] * _engagement(p) for p in own)
+        trend = 2 * len(own) + len(authors) + engaged / 10 + influence / 20 + 3 * len(strong)
+        last = START + timedelta(seconds=max(p["seconds"] for p in own))
+        weight = max(p["weight"] for p in own)
+        out[symbol] = (len(own), len(authors), len(strong), engaged, influence, weight, round(trend, 2), f"{last:%H:%M:%S}")
+    return out
+
+
+def _short(posts):
+    """symbol: mentions, authors, engagement, short trend."""
+    return {s: (m, a, e, round(2 * m + a + e / 10, 2)) for s, (m, a, _, e, *_) in _totals(posts).items()}
+
+
+CLEAN = [p for p in POSTS if p["seconds"] is not None and p["mentions"]]
+STRICT = [p for p in CLEAN if p["kind"] == "A" and p["tags"]]
+LATEST_TOTALS = _totals(_first(CLEAN[::-1]))
+FIRST_WINDOW = _totals(p for p in _first(CLEAN) if p["seconds"] < 300)
+ALL_WINDOW_ROWS = len(
+    {(p["seconds"] // 60 - back, s) for p in _first(CLEAN) for s in p["mentions"] for back in range(5)}
+)
+STRICT_TOTALS = _short(STRICT)
+# A reader with whole-number columns reads quoted counts as 0.
+STRICT_TYPED = _short([p | dict.fromkeys(("likes", "shares", "replies"), 0) if isinstance(p["likes"], str) else p for p in STRICT])
+FUNNEL = (len(POSTS), len(POSTS), len(CLEAN), len(_first(CLEAN)))
+REJECTED = {
+    "missing_symbol": sum(not p["mentions"] for p in POSTS),
+    "bad_timestamp": sum(p["seconds"] is None for p in POSTS),
+}
 
 
 def write_lines(path, lines=LINES):

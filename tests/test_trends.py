@@ -39,7 +39,7 @@ def test_first_arrival_windows(spark, sample_posts):
     assert set(windows.dtypes) == set(spark.createDataFrame([], TREND_WINDOW_ROW).dtypes)
     rows = windows.collect()
     assert len(rows) == sample.ALL_WINDOW_ROWS
-    window = {r.symbol: sample.metrics(r) for r in rows if r.window_start == START}
+    window = {r.symbol: sample.metrics(r) for r in rows if r.window_start == sample.START}
     assert window == sample.FIRST_WINDOW
 
 
