@@ -50,7 +50,7 @@ def test_distance_is_a_distance():
 
 
 def test_references_are_means_over_all_documents(spark):
-    rows = [(i, "alpha beta gamma " * 20 + chr(97 + i % 26) * 3, "en") for i in range(40)]
+    rows = [(i, "alpha beta gamma " * 20 + f"own{i}", "en") for i in range(40)]
     docs = spark.createDataFrame(rows, "doc_id int, text string, lang string").repartition(7)
     known = quality.references(docs, quality.Limits())
     assert list(known) == ["en"]
@@ -60,13 +60,17 @@ def test_references_are_means_over_all_documents(spark):
 
 
 def test_odd_text_is_rejected_and_plain_text_kept(spark):
-    from tests.llm.conftest import prose
+    rng = random.Random(9)
+
+    def words(n):
+        rare = lambda: "w" + "".join(rng.choices("abcdefgh", k=4))
+        return " ".join(rng.choice("the of and to in".split()) if rng.random() < 0.5 else rare() for _ in range(n))
 
-    rows = [(i, prose(300, i + 1), "en") for i in range(60)] + [(99, re.sub(r"(\S+)", r"\1%%%$$$", prose(300, 77)), "en")]
+    rows = [(i, words(300), "en") for i in range(60)] + [(99, re.sub(r"(\S+)", r"\1%%%$$$", words(300)), "en")]
     docs = spark.createDataFrame(rows, "doc_id int, text string, lang string")
     kept = {r["doc_id"]: r["kept"] for r in quality.with_verdicts(docs).select("doc.doc_id", "verdict.kept").collect()}
     assert not kept.pop(99)
-    assert sum(kept.values()) >= 58
+    assert all(kept.values())
 
 
 def test_empty_tables(no_docs):
