@@ -12,17 +12,24 @@ from murmur.settings import MARKET_WEIGHT, WHALE_AUTHORS, WHALE_SIGNAL, WHALE_WE
 
 _CORRUPT = "_corrupt"
 _TAG_LISTS = ("hashtags", "cashtags")
+_COUNTS = ("like_count", "retweet_count", "reply_count")
+_OTHER_TYPES = {n: T.ArrayType(T.StringType()) for n in _TAG_LISTS} | {n: T.VariantType() for n in _COUNTS}
 
 
 def _message_schema() -> T.StructType:
-    """Raw posts with real tag arrays, so that a message is parsed just once."""
-    fields = [
-        T.StructField(f.name, T.ArrayType(T.StringType()) if f.name in _TAG_LISTS else f.dataType)
-        for f in RAW_POST.fields
-    ]
+    """Raw posts with real tag arrays and typed counts, so that a message is parsed just once."""
+    fields = [T.StructField(f.name, _OTHER_TYPES.get(f.name, f.dataType)) for f in RAW_POST.fields]
     return T.StructType([*fields, T.StructField(_CORRUPT, T.StringType())])
 
 
+def _count_text(value: Column) -> Column:
+    """A count as text: a bare number loses its fraction, true is 1, quoted text stays."""
+    bare = F.schema_of_variant(value).rlike("^(DECIMAL|DOUBLE|BOOLEAN)")
+    number = F.try_variant_get(value, "$", "double")
+    whole = F.when(F.abs(number) <= parse.MOST_COUNT, number.cast("bigint"))
+    return F.when(bare, whole.cast("string")).otherwise(value.cast("string"))
+
+
 def parse_posts(raw: DataFrame, value: str = "value") -> DataFrame:
     """JSON messages (bytes or text) as raw post columns.
 
@@ -44,6 +51,8 @@ def parse_posts(raw: DataFrame, value: str = "value") -> DataFrame:
     nothing = F.coalesce(*[F.col(f"post.{n}").cast("string") for n in RAW_POST.names]).isNull()
 
     def field(name: str) -> Column:
+        if name in _COUNTS:
+            return _count_text(F.col(f"post.{name}")).alias(name)
         if name not in _TAG_LISTS:
             return F.col(f"post.{name}").alias(name)
         lone = F.when(corrupt, F.get_json_object("raw_json", f"$.{name}"))
@@ -98,7 +107,10 @@ def _with_all_fields(df: DataFrame) -> DataFrame:
 
 
 def normalize_posts(
-    raw: DataFrame, distinct_symbols: bool = True, api_times: bool = False
+    raw: DataFrame,
+    distinct_symbols: bool = True,
+    api_times: bool = False,
+    where: Column | str | None = None,
 ) -> DataFrame:
     """Raw post columns of either dialect as clean post columns plus ``invalid_reason``.
 
@@ -106,8 +118,11 @@ def normalize_posts(
     from the tag array, else from the text, else from the target coin.  An
     explicit weight is kept; a missing one follows from name and target.  Columns
     of ``raw`` that are no post fields (topic, arrival, ...) are passed through.
+
+    ``where`` filters on columns of ``raw`` and reaches the scan, so directories that
+    it rules out are not read; a filter on the result is applied after the cleaning.
     """
-    df = _with_all_fields(raw)
+    df = _with_all_fields(raw if where is None else raw.where(where))
     passed = [c for c in df.columns if c not in RAW_POST.names and c not in ("bad_json", "raw_json")]
     name = text.first_text(F.col("username"), F.col("author"))
     fields = df.select(

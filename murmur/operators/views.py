@@ -187,10 +187,17 @@ def sentiment_labels(table: DataFrame) -> DataFrame:
 
 
 def page(table: DataFrame, number: int, size: int = 10) -> DataFrame:
-    """Page ``number`` (from 1) of a ranked table."""
+    """Page ``number`` (from 1) of a ranked table, by rank.
+
+    Rows are found by their position, so a deep page costs no more than the first:
+    an offset would bring all rows before it to the driver.
+    """
     if number < 1:
         raise ValueError("pages are numbered from 1")
-    return table.orderBy("rank").offset((number - 1) * size).limit(size)
+    placed = global_rank(table, [F.asc("rank")], "_position")
+    first = (number - 1) * size + 1
+    wanted = placed.where(F.col("_position").between(first, first + size - 1))
+    return wanted.drop("_position").orderBy("rank")
 
 
 def page_count(table: DataFrame, size: int = 10) -> DataFrame:

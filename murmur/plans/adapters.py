@@ -74,9 +74,9 @@ def posts_of(events: DataFrame, unique_ids: bool = False) -> DataFrame:
         " when 2 then '[]' end, null) AS cashtags",
         "cast(k AS string) AS like_count",
         "concat(' ', v) AS retweet_count",
-        "'n/a' AS reply_count",
+        "if(v % 4 = 3, '9223372036854775807', 'n/a') AS reply_count",
         f"if({a}, 'EN', null) AS lang",
-        "if(user_id % 10 = 5, '1.5', null) AS author_weight",
+        "case user_id % 10 when 5 then '1.5' when 3 then '1e300' end AS author_weight",
     )
 
 
@@ -85,19 +85,26 @@ def messages(spark: SparkSession, sf_dir: str, unique_ids: bool = False) -> Data
 
 
 def messages_of(posts: DataFrame) -> DataFrame:
-    """Raw posts as JSON messages with topic; some are no JSON at all."""
+    """Raw posts as JSON messages with topic; some are no JSON at all.
+
+    Posts with a tag list have bare counts: a whole number, one with a fraction, false.
+    """
+    counts = ("like_count", "retweet_count", "reply_count")
     fields = [
         c for c in posts.columns
-        if c not in ("arrival", "observed_at", "k", "hashtags", "cashtags", "like_count")
+        if c not in ("arrival", "observed_at", "k", "hashtags", "cashtags", *counts)
     ]
     tags = F.from_json("hashtags", "array<string>").alias("hashtags")
+    retweets = F.col("retweet_count").cast("double")
     listed = F.to_json(
         F.struct(
             *fields, tags, F.from_json("cashtags", "array<string>").alias("cashtags"),
             F.col("like_count").cast("bigint").alias("like_count"),
+            (retweets + F.when(retweets < 0, -0.5).otherwise(0.5)).alias("retweet_count"),
+            F.lit(False).alias("reply_count"),
         )
     )
-    scalar = F.to_json(F.struct(*fields, tags, "cashtags", "like_count"))
+    scalar = F.to_json(F.struct(*fields, tags, "cashtags", *counts))
     body = (
         F.when(F.col("k") == 96, F.lit("not json"))
         .when(F.col("cashtags").startswith("["), listed)

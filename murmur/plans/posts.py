@@ -204,7 +204,7 @@ def _payloads(spark, sf_dir):
         )
     )
     empty = '{"id":1,"text":""}'
-    lists = F.concat(F.lit("["), item, F.lit(","), item, F.lit(f",{empty}]"))
+    lists = F.concat(F.lit("["), item, F.lit(',"no item",'), item, F.lit(f",7,{empty}]"))
     kind = F.col("event_id") % 4
     wrapped = (
         F.when(kind == 0, F.concat(F.lit('{"data":'), lists, F.lit("}")))

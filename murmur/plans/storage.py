@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from murmur.functions.text import normalize_coin
 from murmur.operators import sentiment as S
+from murmur.operators.posts import normalize_posts, valid_posts
 from murmur.plans import adapters as A
 from murmur.plans.registry import query
 from murmur.plans.sentiment import LEXICON_SQL, SCORES_SQL, scored_documents
@@ -41,6 +42,28 @@ def raw_partitioned_roundtrip(spark, sf_dir):
     )
 
 
+@query(
+    r"""SELECT date, hour, count(*) AS posts FROM (
+         SELECT (to_timestamp(1704067200 + doc_id)::TIMESTAMP)::DATE AS date,
+                cast(hour(to_timestamp(1704067200 + doc_id)::TIMESTAMP) AS INTEGER) AS hour
+         FROM documents WHERE upper(source) = 'SRC3' AND regexp_matches(text, '\S')) posts
+       WHERE date = DATE '2024-01-01' GROUP BY ALL"""
+)
+def cleaned_partition(spark, sf_dir):
+    """Stored posts of one coin and day, cleaned; other directories are not read."""
+    root = scratch_path(spark, "cleaned_partition")
+    posts = A.document_posts(spark, sf_dir).withColumn("id", F.col("doc_id").cast("string"))
+    files.store_raw_posts(
+        posts.select("id", "text", "created_at", "target_coin"),
+        root,
+        F.col("target_coin"),
+        F.col("created_at"),
+    )
+    stored = read_partitioned_posts(spark, root, COLLECTOR_RECORD)
+    tagged = normalize_posts(stored, where="coin = 'SRC3' AND date = DATE '2024-01-01'")
+    return valid_posts(tagged).groupBy("date", "hour").agg(F.count("*").alias("posts"))
+
+
 @query(
     """SELECT cast(event_id AS VARCHAR) AS id, '$' || upper(event_type) AS target_coin,
               'note ' || user_id AS text FROM events

@@ -4,17 +4,20 @@ from __future__ import annotations
 
 from datetime import timedelta
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from murmur.operators.posts import normalize_posts
+from murmur.operators.posts import explode_symbols, normalize_posts, parse_posts, valid_posts
+from murmur.operators.trends import windowed_trends
 from murmur.plans import adapters as A
 from murmur.plans import trends as T
 from murmur.plans.registry import query
 from murmur.session import scratch_path
 from murmur.sinks.upsert import TrendTable
+from murmur.sources.files import stream_lines
 from murmur.streaming import pipeline, runner
 
-HOUR = timedelta(hours=1)
+HOUR, FILES = timedelta(hours=1), 4
 NOW = {"availableNow": True}
 
 _CLOSED = "(SELECT max(created_at) - INTERVAL 10 MINUTE FROM valid)"
@@ -24,6 +27,24 @@ def _normalized(spark, sf_dir):
     return normalize_posts(A.posts_of(A.event_stream(spark, sf_dir), unique_ids=True))
 
 
+def _messages(spark, sf_dir):
+    """Messages in ``FILES`` files, each later in time than the one before, a file per batch.
+
+    A sixth of the first dialect's posts is sent twice; all of these are valid.
+    """
+    folder = scratch_path(spark, "stream_messages")
+    posts = A.raw_posts(spark, sf_dir, unique_ids=True)
+    first, last = posts.agg(F.min("observed_at"), F.max("observed_at")).first()
+    span = (last - first) / FILES
+    ends = [first + span * i for i in range(1, FILES)]
+    for low, high in zip([None, *ends], [*ends, None]):
+        part = posts if low is None else posts.where(F.col("observed_at") >= F.lit(low))
+        part = part if high is None else part.where(F.col("observed_at") < F.lit(high))
+        twice = part.where("tweet_id IS NOT NULL AND k % 6 = 4")
+        A.messages_of(part.union(twice)).select("value").coalesce(1).write.mode("append").text(folder)
+    return pipeline.normalized_stream(stream_lines(spark, folder))
+
+
 def _appended(df, spark, name, mode):
     root = scratch_path(spark, name)
     query_ = runner.start_append(
@@ -44,11 +65,71 @@ def stream_trends(spark, sf_dir):
     return A.naive(rows, "window_start", "window_end", "last_seen")
 
 
-@query()
+@query(
+    A.posts_sql(unique_ids=True, json=True)
+    + f""", {T.windows_sql('valid', 6)}
+       SELECT window_start, window_end, symbol, mention_count, engagement_score, influence_score,
+              last_seen, true AS authors_close FROM windows"""
+)
 def stream_trends_approx(spark, sf_dir):
-    """Update mode with sketched author counts."""
-    trends = pipeline.trend_stream(_normalized(spark, sf_dir), 6 * HOUR, HOUR)
-    rows = _appended(trends, spark, "stream_trends_approx", "update").drop("batch_id")
+    """Update mode over several files: each window's last row, and whether its sketched counts are close."""
+    trends = pipeline.trend_stream(_messages(spark, sf_dir), 6 * HOUR, HOUR)
+    rows = _appended(trends, spark, "stream_trends_approx", "update")
+    newest = Window.partitionBy("window_start", "symbol").orderBy(F.desc("batch_id"))
+    last = rows.withColumn("_n", F.row_number().over(newest)).where("_n = 1")
+    posts = valid_posts(normalize_posts(parse_posts(A.messages(spark, sf_dir, unique_ids=True))))
+    exact = windowed_trends(explode_symbols(posts), 6 * HOUR, HOUR).select(
+        "window_start", "symbol", F.col("unique_authors").alias("authors"),
+        F.col("influencer_authors").alias("influencers"),
+    )
+    close = T.close_to("unique_authors", "authors") & T.close_to("influencer_authors", "influencers")
+    checked = last.join(exact, ["window_start", "symbol"]).select(
+        "window_start", "window_end", "symbol", "mention_count", "engagement_score", "influence_score",
+        "last_seen", close.alias("authors_close"),
+    )
+    return A.naive(checked, "window_start", "window_end", "last_seen")
+
+
+@query(
+    A.posts_sql(unique_ids=True, json=True)
+    + f", {T.windows_sql('valid', 1)} SELECT * FROM windows WHERE window_end <= {_CLOSED}"
+)
+def stream_message_trends(spark, sf_dir):
+    """JSON messages from several files, with repeated posts, to closed windows."""
+    trends = pipeline.trend_stream(_messages(spark, sf_dir), HOUR, HOUR, exact=True)
+    rows = _appended(trends, spark, "stream_message_trends", "append").drop("batch_id")
+    return A.naive(rows, "window_start", "window_end", "last_seen")
+
+
+@query(
+    A.posts_sql(unique_ids=True, json=True)
+    + """ SELECT invalid_reason, count(*) AS bad_record_count FROM tagged
+       WHERE invalid_reason IS NOT NULL GROUP BY ALL"""
+)
+def stream_message_rejects(spark, sf_dir):
+    """Rejected messages per reason, unreadable ones among them."""
+    bad = pipeline.bad_record_stream(_messages(spark, sf_dir))
+    rows = _appended(bad, spark, "stream_message_rejects", "update")
+    last = rows.groupBy("window_start", "invalid_reason").agg(F.max("bad_record_count").alias("n"))
+    return last.groupBy("invalid_reason").agg(F.sum("n").alias("bad_record_count"))
+
+
+@query(
+    A.posts_sql(unique_ids=True, json=True)
+    + f", {T.windows_sql('valid', 1)}, {T.SPIKES_SQL} SELECT * FROM flagged WHERE window_end <= {_CLOSED}"
+)
+def stream_message_spikes(spark, sf_dir):
+    """Closed hourly windows of several batches, upserted with their spike fields."""
+    root = scratch_path(spark, "stream_message_spikes")
+    trends = pipeline.trend_stream(_messages(spark, sf_dir), HOUR, HOUR, exact=True)
+    table = TrendTable(
+        f"{root}/trends", rule=T.RULE, horizon=timedelta(minutes=10) + HOUR, by_hour=False
+    )
+    started = runner.start_trend_upsert(
+        trends, table, f"{root}/checkpoint", "stream_message_spikes", mode="append", trigger=NOW
+    )
+    runner.run_available(started)
+    rows = table.read(spark).drop("updated_at", "window_date")
     return A.naive(rows, "window_start", "window_end", "last_seen")
 
 

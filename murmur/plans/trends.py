@@ -89,10 +89,26 @@ def trend_totals_short(spark, sf_dir):
     return A.naive(totals.orderBy(F.desc("trend_score"), "symbol"), "last_seen")
 
 
-@query()
+def close_to(approximate, exact, rsd=0.05):
+    """Is a sketched count within three standard deviations of the exact one?"""
+    return F.abs(F.col(approximate) - F.col(exact)) <= F.ceil(F.col(exact) * 3 * rsd)
+
+
+@query(
+    A.posts_sql()
+    + """ SELECT cashtags AS symbol, count(*) AS mention_count,
+              cast(sum(engagement_score) AS BIGINT) AS engagement_score,
+              max(created_at) AS last_seen, true AS authors_close
+       FROM deduped GROUP BY ALL"""
+)
 def trend_totals_approx(spark, sf_dir):
-    totals = T.trend_totals_approx(A.mentions(spark, sf_dir))
-    return A.naive(totals, "last_seen")
+    """Exact columns, and whether the sketched author counts are close to the exact ones."""
+    mentions = A.mentions(spark, sf_dir)
+    exact = T.trend_totals(mentions).select("symbol", F.col("unique_authors").alias("authors"))
+    totals = T.trend_totals_approx(mentions).join(exact, "symbol")
+    close = close_to("unique_authors", "authors").alias("authors_close")
+    rows = totals.select("symbol", "mention_count", "engagement_score", "last_seen", close)
+    return A.naive(rows, "last_seen")
 
 
 @query(_with(windows_sql("deduped", 6)) + " SELECT * FROM windows")

@@ -138,6 +138,17 @@ def sentiment_histogram(spark, sf_dir):
     return V.sentiment_histogram(A.hashtag_hours(spark, sf_dir))
 
 
+@query(
+    A.HOURS_SQL
+    + """ SELECT cast(least(greatest(floor((sentiment + 0.5::DOUBLE) * 10), 0), 9) AS BIGINT) AS bin,
+              count(*) AS rows
+       FROM hours WHERE sentiment IS NOT NULL GROUP BY ALL"""
+)
+def sentiment_histogram_narrow(spark, sf_dir):
+    """A range narrower than the scores: those beyond it are in the first and last bin."""
+    return V.sentiment_histogram(A.hashtag_hours(spark, sf_dir), bins=10, low=-0.5, high=0.5)
+
+
 @query(
     A.HOURS_SQL
     + """ SELECT cast(floor(lat / 5) AS BIGINT) AS lat_cell, cast(floor(lon / 5) AS BIGINT) AS lon_cell,

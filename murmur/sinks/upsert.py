@@ -5,6 +5,7 @@ Layout below ``root``::
     table/window_date=D[/window_hour=H] the metrics, one row per key
     keyless/query=Q/batch_id=N          rows without a full key, appended
     work/query=Q/incoming/batch_id=N    the batch as it arrived
+    work/query=Q/changed/batch_id=N     the rows that are new or get new spike fields
     work/query=Q/staging/batch_id=N     full new content of the touched partitions
     work/query=Q/tail/batch_id=N        the windows later batches may still need
 
@@ -71,8 +72,10 @@ class TrendTable:
         history = self._history(spark, keyed, batch_id)
         staging = self._path(spark, "staging", batch_id)
         if not storage.complete(spark, staging):
-            changed = stamp(refresh_spikes(keyed, history, self.rule))
-            self._merged(spark, changed).write.mode("overwrite").parquet(staging)
+            changed = self._path(spark, "changed", batch_id)
+            stamp(refresh_spikes(keyed, history, self.rule)).write.mode("overwrite").parquet(changed)
+            merged = self._merged(spark, spark.read.parquet(changed))
+            merged.write.mode("overwrite").parquet(staging)
         tail = self._path(spark, "tail", batch_id)
         if not storage.complete(spark, tail):
             untouched = history.join(keyed.select(*KEY), list(KEY), "left_anti")
@@ -130,7 +133,7 @@ class TrendTable:
 
     def _forget(self, spark: SparkSession, batch_id: int) -> None:
         """Drop work folders of batches that can no longer be run again."""
-        for kind in ("incoming", "staging"):
+        for kind in ("incoming", "changed", "staging"):
             for old in self._finished(spark, kind):
                 if old < batch_id:
                     storage.delete(spark, self._path(spark, kind, old))

@@ -15,13 +15,15 @@ _ITEM = (
     "created_at string, timestamp string, user_id_str string"
 )
 _ENVELOPE = ", ".join(f"{name} string" for name in _LISTS)
-_EMPTY = ("", "[]", "{}", "null", "false", "0")
+_EMPTY = r"^\s*(\[\s*\]|\{\s*\}|null|false|0)?\s*$"
 
 
 def _filled(col: Column) -> Column:
-    """The JSON text of a value, or NULL if the value is empty."""
-    packed = F.regexp_replace(col, r"\s+", "")
-    return F.when(~packed.isin(*_EMPTY), col)
+    """The JSON text of a value, or NULL if the value is empty.
+
+    The pattern gives up at the first character of a filled list.
+    """
+    return F.when(~col.rlike(_EMPTY), col)
 
 
 def _or(first: str, second: str) -> Column:
@@ -33,7 +35,8 @@ def _or(first: str, second: str) -> Column:
 def payload_items(payloads: DataFrame, payload: str = "payload") -> DataFrame:
     """One row per item of the first non-empty list of each payload.
 
-    A payload whose first non-empty member is not a list gives no rows.
+    A payload whose first non-empty member is not a list gives no rows.  Items are
+    read one by one, so an item that is no object costs only itself.
     """
     envelope = F.from_json(F.col(payload), _ENVELOPE)
     kept = [c for c in payloads.columns if c != payload]
@@ -41,11 +44,9 @@ def payload_items(payloads: DataFrame, payload: str = "payload") -> DataFrame:
         *kept, F.coalesce(*[_filled(F.col(f"e.{n}")) for n in _LISTS]).alias("items")
     )
     lists = chosen.where(F.ltrim("items").startswith("["))
-    return lists.select(*kept, F.explode(F.from_json("items", f"array<struct<{_colons(_ITEM)}>>")).alias("item"))
-
-
-def _colons(fields: str) -> str:
-    return ", ".join(f.strip().replace(" ", ":") for f in fields.split(","))
+    each = lists.select(*kept, F.explode(F.from_json("items", "array<string>")).alias("body"))
+    objects = each.where(F.ltrim("body").startswith("{"))
+    return objects.select(*kept, F.from_json("body", _ITEM).alias("item"))
 
 
 def market_records(payloads: DataFrame, payload: str = "payload", coin: str = "coin") -> DataFrame:

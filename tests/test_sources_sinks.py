@@ -4,6 +4,7 @@ from datetime import date, datetime
 import pytest
 from pyspark.sql import functions as F
 
+from murmur.operators.posts import normalize_posts
 from murmur.schemas import ALERT, COLLECTOR_RECORD, SENTIMENT_METRIC, TREND_SPIKE
 from murmur.session import build_session, scratch_path, shared_dir
 from murmur.sinks import documents as D
@@ -55,6 +56,7 @@ def test_payload_records(spark):
         ({"data": [], "results": [{"id_str": "", "id": 4, "text": "four"}]},),
         ({"data": None, "timeline": [{"id": 5, "text": "five", "user_id_str": ""}]},),
         ({"data": {"error": "x"}, "results": [item]},),
+        ({"data": ["stray", {"id": 6, "text": "six"}, 7, None, [item]]},),
         ({"other": 1},),
     ]
     landed = spark.createDataFrame([(json.dumps(r[0]), "$BTC", "ann") for r in rows],
@@ -66,6 +68,7 @@ def test_payload_records(spark):
         ("2", "two", "t2", "unknown", "$BTC"),
         ("4", "four", None, "unknown", "$BTC"),
         ("5", "five", None, "unknown", "$BTC"),
+        ("6", "six", None, "unknown", "$BTC"),
     ]
     assert {(r.author, r.target_coin) for r in payloads.whale_records(landed).collect()} == {
         ("ann", "WHALE_SIGNAL")}
@@ -86,6 +89,9 @@ def test_partitioned_posts(spark, tmp_path):
     assert [r.id for r in one.collect()] == ["1"]
     plan = one._jdf.queryExecution().executedPlan().toString()
     assert "PartitionFilters: [isnotnull(coin" in plan
+    tagged = normalize_posts(stored, where="coin = 'BTC' AND hour = 15")
+    assert [(r.tweet_id, r.coin) for r in tagged.collect()] == [("1", "BTC")]
+    assert "PartitionFilters: [isnotnull(coin" in tagged._jdf.queryExecution().executedPlan().toString()
     globbed = sources.read_partitioned_posts(spark, root, COLLECTOR_RECORD, f"{root}/coin=ETH/*/*")
     assert [(r.coin, r.id) for r in globbed.collect()] == [("ETH", "3")]
     files.store_raw_posts(posts.limit(1), root, F.col("target_coin"), F.col("at"))
