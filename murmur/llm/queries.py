@@ -169,6 +169,6 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document from the token files that hold it."""
     docs, folder = table(spark, sf_dir, "documents").select("doc_id", "text"), scratch_path(spark, "tokens")
     files = token_files.write_token_files(
-        docs, folder, public_tokenizers.path(TOKENIZER), END_OF_TEXT, public_tokenizers.PATTERN, vocabulary=50_257
+        docs, folder, public_tokenizers.path(TOKENIZER), END_OF_TEXT, vocabulary=50_257
     )
     return token_files.read_token_files(files, folder, with_ids=False)

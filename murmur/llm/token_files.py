@@ -19,15 +19,15 @@ of their own.  An empty table gives no files and no rows.
 from __future__ import annotations
 
 import array
+import json
 import os
 import struct
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -121,36 +121,38 @@ class TokenFile:
         return self.ids[self.boundaries.select(i) : self.boundaries.select(i + 1)]
 
 
-def byte_characters() -> dict[int, str]:
-    """The characters that byte-level vocabularies write for bytes: printable ones of
-    Latin-1 for themselves, the others, in order, from code point 256 on."""
-    own = [*range(33, 127), *range(161, 173), *range(174, 256)]
-    rest = [b for b in range(256) if b not in own]
-    return {b: chr(b) for b in own} | {b: chr(256 + i) for i, b in enumerate(rest)}
+def cuts_are_safe(tokenizer: dict) -> bool:
+    """Whether a text may be cut before single spaces: no added token can reach over such a
+    place, and the text is split as byte-level tokenizers do and not changed before."""
+    split = tokenizer.get("pre_tokenizer") or {}
+    return (
+        tokenizer.get("normalizer") is None
+        and split.get("type") == "ByteLevel"
+        and split.get("use_regex", True)
+        and not split.get("add_prefix_space", True)
+        and not any(
+            t["lstrip"] or t["rstrip"] or t["single_word"] or any(c.isspace() for c in t["content"])
+            for t in tokenizer.get("added_tokens", [])
+        )
+    )
 
 
 @lru_cache(maxsize=2)
-def encoder(path: str, pattern: str | None) -> ChunkMemory:
+def encoder(path: str) -> Callable[[str], list]:
     """Texts to lists of 32-bit id strings, by the tokenizers library.
 
-    With ``pattern``, the library's model is called for each match of it, which is what a
-    byte-level tokenizer does itself; without, the library gets the chunks.
+    The library encodes chunks, which are remembered, or the whole text if its tokenizer
+    may join what lies on both sides of a cut.
     """
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(path)
-    tokenizer.encode_special_tokens = True
-    if pattern is None:
-        encode = lambda chunks: tokenizer.encode_batch_fast(chunks, add_special_tokens=False)
-        return ChunkMemory(lambda chunks: [array.array("I", e.ids).tobytes() for e in encode(chunks)])
-    matches, letters, tokenize = regex.compile(pattern).findall, byte_characters(), tokenizer.model.tokenize
 
-    def spell(chunk: str) -> bytes:
-        pieces = [p.encode("utf-8", "surrogatepass").decode("latin-1").translate(letters) for p in matches(chunk)]
-        return array.array("I", [token.id for p in pieces for token in tokenize(p)]).tobytes()
+    def encode(chunks: list[str]) -> list[bytes]:
+        return [array.array("I", e.ids).tobytes() for e in tokenizer.encode_batch_fast(chunks, add_special_tokens=False)]
 
-    return ChunkMemory(lambda chunks: [spell(c) for c in chunks])
+    return ChunkMemory(encode) if cuts_are_safe(json.loads(tokenizer.to_str())) else lambda text: encode([text])
 
 
 MANIFEST = "part bigint, file string, docs bigint, ids bigint"
@@ -171,6 +173,7 @@ def write_token_files(
 
     Documents are range-partitioned by id; ties are split by the text's hash.  A task
     closes a file at ``file_ids`` ids.  Ids take two bytes if ``vocabulary`` allows it.
+    The tokenizer splits texts itself; ``pattern`` is not needed and has no effect.
     """
     width = 2 if vocabulary <= 1 << 16 else 4
     order = [F.col("doc_id").asc_nulls_first(), F.xxhash64("text")]
@@ -178,7 +181,7 @@ def write_token_files(
     ranged = rows.repartitionByRange(partitions_for(docs), *order).sortWithinPartitions(*order)
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, task = encoder(path, pattern), TaskContext.get()
+        encode, task = encoder(path), TaskContext.get()
         system, place = filesystem(folder)
         system.create_dir(place, recursive=True)
         end = struct.pack("<I", end_id)
