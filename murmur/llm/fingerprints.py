@@ -118,10 +118,28 @@ def with_fingerprints(docs: DataFrame, text: str = "text", k: int = SIZE) -> Dat
     return rows.mapInArrow(sketch, T.StructType([rows.schema["doc"], T.StructField("fingerprint", T.StringType())]))
 
 
+def smallest_ids(rows: DataFrame, near: list[float]) -> np.ndarray:
+    """The smallest ``doc_id`` of each range between the bounds, which need not be ids themselves."""
+    ends = np.iinfo(np.int64)
+    cuts = np.unique(np.array([min(max(int(x), ends.min), ends.max) for x in near], np.int64))
+
+    def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids = batch.column(0).to_numpy(zero_copy_only=False)
+            home = np.maximum(np.searchsorted(cuts, ids, side="right") - 1, 0)
+            yield pa.RecordBatch.from_arrays([pa.array(home, pa.int64()), batch.column(0)], ["range", "doc_id"])
+
+    if not len(cuts):
+        return cuts
+    ids = rows.select("doc_id").where("doc_id IS NOT NULL").mapInArrow(number, "range bigint, doc_id bigint")
+    least = ids.groupBy("range").agg(F.min("doc_id").alias("doc_id")).collect()
+    return np.sort(np.array([r["doc_id"] for r in least], np.int64))
+
+
 def next_documents(docs: DataFrame, pair: Callable, schema: str, doc_id: str, text: str, bucket_rows: int = 1000) -> DataFrame:
     """Rows that ``pair(doc_id, text, next_text)`` makes of each document and the next by id.
 
-    Bounds between id ranges are ids of the table.  The documents on a bound go to their
+    Bounds between id ranges are ids of the table, kept as 64-bit integers.  The documents on a bound go to their
     own range and, as its last successor, to the range before; the first documents also go
     to the last range.  So each range can be read in order by itself and texts move once.
     A null id stands before all others, equal ids are in order of their text's hash.
@@ -131,7 +149,7 @@ def next_documents(docs: DataFrame, pair: Callable, schema: str, doc_id: str, te
     ranges = max(1, -(-n_rows // bucket_rows))
     steps = [i / ranges for i in range(ranges)]
     bounds = rows.stat.approxQuantile("doc_id", steps, 0.25 / ranges) if n_rows > n_null else []
-    bounds = np.unique(np.array(bounds, np.int64))
+    bounds = smallest_ids(rows, bounds)
     last = max(0, len(bounds) - 1)
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
