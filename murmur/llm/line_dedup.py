@@ -2,10 +2,11 @@
 
 A text's lines are its ``\\n``-split lines, cut further after words that end a sentence, for
 passages also begin and end inside long lines.  A line with enough words that stands once in
-its document is rare enough to link documents: each such line links the documents that have
-it to the first of them by id, so a line in thousands of documents gives one link each, not
-all pairs.  A linked pair is aligned by patience diff over the line hashes.  Blocks of
-aligned lines with enough words are deleted from the later document.
+its document, and a shortest run of lines with enough words for a block, link the documents
+that have them to the first of them by id, so what stands in thousands of documents gives
+one link each, not all pairs.  A linked pair is aligned by patience diff over the line
+hashes.  Blocks of aligned lines with enough words are deleted from the later document, and
+so are runs in common that the alignment leaves out, as they repeat or stand in other order.
 
 Defined results: a null or empty text has no lines and stays as it is.  Rows with one id
 never lose lines to each other; towards later documents the one with the smallest text hash
@@ -25,7 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from murmur.llm.storage import stored
-from murmur.llm.texts import SpanHasher, rows_of, spaces, utf8, word_spans
+from murmur.llm.texts import SpanHasher, mix, rows_of, spaces, utf8, word_spans
 
 #: Words that a line needs to link documents, and that a block needs to be deleted.
 LINK_WORDS, BLOCK_WORDS = 4, 25
@@ -110,16 +111,39 @@ def _rising(pairs: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out[::-1]
 
 
-def repeated_lines(own: list[int], words: list[int], other: list[int], block_words: int) -> list[int]:
-    """Numbers of the own lines that lie in aligned blocks of enough words."""
-    found: list[int] = []
+def block_runs(lines: np.ndarray, words: np.ndarray, block_words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Start, end and hash of the shortest runs of enough words that begin, or end, at each line.
+
+    Each line of a block of enough words lies in one of them that is inside the block.
+    """
+    sums = np.concatenate([[0], np.cumsum(words, dtype=np.int64)])
+    n = len(lines)
+    ends = np.searchsorted(sums, sums[:-1] + block_words)
+    starts = np.searchsorted(sums, sums[1:] - block_words, side="right") - 1
+    ahead, back = np.flatnonzero(ends <= n), np.flatnonzero(starts >= 0)
+    first = np.concatenate([ahead, starts[back]])
+    last = np.concatenate([ends[ahead], back + 1])
+    if not len(first):
+        return first, last, np.zeros(0, np.int64)
+    halves = (lines.view(np.uint64) & np.uint64(0xFFFFFFFF), lines.view(np.uint64) >> np.uint64(32))
+    low, high = (SpanHasher(half)(first, last) for half in halves)
+    return first, last, mix(low + mix(high)).view(np.int64)
+
+
+def repeated_lines(own: list[int], words: list[int], other: list[int], other_words: list[int], block_words: int) -> list[int]:
+    """Numbers of the own lines that lie in blocks of enough words, aligned or in common."""
+    found: set[int] = set()
     for start, _, length in patience(own, other):
         if sum(words[start : start + length]) >= block_words:
-            found += range(start, start + length)
-    return found
+            found.update(range(start, start + length))
+    first, last, runs = block_runs(np.array(own, np.int64), np.array(words, np.int64), block_words)
+    _, _, others = block_runs(np.array(other, np.int64), np.array(other_words, np.int64), block_words)
+    for at in np.flatnonzero(np.isin(runs, others)).tolist():
+        found.update(range(int(first[at]), int(last[at])))
+    return sorted(found)
 
 
-LINES = "id bigint, tie bigint, lines array<bigint>, words array<int>, linking array<boolean>"
+LINES = "id bigint, tie bigint, lines array<bigint>, words array<int>, linking array<boolean>, runs array<bigint>"
 FIRST_ID = -(1 << 63)
 
 
@@ -131,12 +155,12 @@ def key_columns(doc_id: str, text: str) -> list[Column]:
     ]
 
 
-def document_lines(docs: DataFrame, doc_id: str, text: str, link_words: int) -> DataFrame:
-    """Hashes and word counts of each document's lines, and which of them link."""
+def document_lines(docs: DataFrame, doc_id: str, text: str, link_words: int, block_words: int) -> DataFrame:
+    """Hashes and word counts of each document's lines, which of them link, and the runs that link."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in rows_of(batches):
-            hashes, counts, linking = [], [], []
+            hashes, counts, linking, runs = [], [], [], []
             for body in batch.column(2).to_pylist():
                 chars = utf8(body or "")
                 starts, ends, words = line_spans(chars)
@@ -145,21 +169,25 @@ def document_lines(docs: DataFrame, doc_id: str, text: str, link_words: int) ->
                 hashes.append(lines)
                 counts.append(words.astype(np.int32))
                 linking.append((words >= link_words) & (times[which] == 1))
-            kinds = (pa.int64(), pa.int32(), pa.bool_())
-            columns = [pa.array(c, pa.list_(k)) for c, k in zip((hashes, counts, linking), kinds)]
-            names = ["id", "tie", "lines", "words", "linking"]
+                runs.append(np.unique(block_runs(lines, words, block_words)[2]))
+            kinds = (pa.int64(), pa.int32(), pa.bool_(), pa.int64())
+            columns = [pa.array(c, pa.list_(k)) for c, k in zip((hashes, counts, linking, runs), kinds)]
+            names = ["id", "tie", "lines", "words", "linking", "runs"]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *columns], names)
 
     return docs.select(*key_columns(doc_id, text), F.col(text)).mapInArrow(cut, LINES)
 
 
 def links(lines: DataFrame, block_words: int) -> DataFrame:
-    """(id, tie, earlier): documents that share enough words in lines first seen in ``earlier``."""
+    """(id, tie, earlier): documents that share enough words in lines, or a run, first seen in ``earlier``."""
     each = (
         lines.select("id", "tie", F.explode(F.arrays_zip("lines", "words", "linking")).alias("line"))
         .where("line.linking")
         .select("id", "tie", F.col("line.lines").alias("line"), F.col("line.words").alias("words"))
     )
+    # Salted, so that a run of one line is not taken for the line.
+    runs = lines.select("id", "tie", F.explode("runs").alias("line"))
+    each = each.union(runs.select("id", "tie", F.xxhash64("line").alias("line"), F.lit(block_words).alias("words")))
     first = each.groupBy("line").agg(F.min("id").alias("earlier"), F.max("id").alias("last")).where("earlier < last")
     # Stored, so that the join below can split a line with very many documents.
     first = stored(first.select("line", "earlier"), "first-lines")
@@ -175,20 +203,20 @@ def links(lines: DataFrame, block_words: int) -> DataFrame:
 
 def deletions(docs: DataFrame, doc_id: str, text: str, link_words: int, block_words: int) -> DataFrame:
     """(id, tie, deleted, partners): line numbers to delete, and the documents that keep them."""
-    lines = stored(document_lines(docs, doc_id, text, link_words), "lines")
+    lines = stored(document_lines(docs, doc_id, text, link_words, block_words), "lines")
     pairs = stored(links(lines, block_words), "line-links")
     linked = pairs.select(F.explode(F.array("id", "earlier")).alias("id")).distinct()
-    linked = stored(lines.drop("linking").join(linked, "id", "left_semi").dropDuplicates(["id", "tie"]), "linked-lines")
+    linked = stored(lines.drop("linking", "runs").join(linked, "id", "left_semi").dropDuplicates(["id", "tie"]), "linked-lines")
     stands = linked.groupBy("id").agg(F.min("tie").alias("tie"))
-    earlier = linked.join(stands, ["id", "tie"]).select(F.col("id").alias("earlier"), F.col("lines").alias("other"))
+    earlier = linked.join(stands, ["id", "tie"]).select(F.col("id").alias("earlier"), F.col("lines").alias("other"), F.col("words").alias("other_words"))
     earlier = stored(earlier, "earlier-lines")
     own = linked.select("id", "tie", F.col("lines").alias("own"), "words")
-    both = pairs.join(own, ["id", "tie"]).join(earlier, "earlier").select("id", "tie", "earlier", "own", "words", "other")
+    both = pairs.join(own, ["id", "tie"]).join(earlier, "earlier").select("id", "tie", "earlier", "own", "words", "other", "other_words")
 
     def align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in rows_of(batches):
-            lists = (batch.column(c).to_pylist() for c in (3, 4, 5))
-            found = [repeated_lines(a, w, b, block_words) for a, w, b in zip(*lists)]
+            lists = (batch.column(c).to_pylist() for c in (3, 4, 5, 6))
+            found = [repeated_lines(*each, block_words) for each in zip(*lists)]
             columns = [*batch.columns[:3], pa.array(found, pa.list_(pa.int32()))]
             yield pa.RecordBatch.from_arrays(columns, ["id", "tie", "earlier", "deleted"])
 
