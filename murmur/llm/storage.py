@@ -27,3 +27,8 @@ def filesystem(path: str) -> tuple[fs.FileSystem, str]:
 def partitions_for(df: DataFrame, least: int = 1) -> int:
     """As many partitions as the session shuffles into, but ``least`` or more."""
     return max(least, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+
+
+def tasks_for(rows: DataFrame, row_bytes: int, task_bytes: int = 64 << 20) -> int:
+    """Tasks for a shuffle of a stored table: as many as the session's, or more to keep each at ``task_bytes``."""
+    return partitions_for(rows, -(-rows.count() * row_bytes // task_bytes))
