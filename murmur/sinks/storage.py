@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import uuid
+
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import SparkSession
 
 
@@ -31,3 +34,40 @@ def children(spark: SparkSession, path: str) -> list[str]:
 def delete(spark: SparkSession, path: str) -> None:
     fs, location = _fs(spark, path)
     fs.delete(location, True)
+
+
+def read_text(spark: SparkSession, path: str) -> str:
+    fs, location = _fs(spark, path)
+    stream = fs.open(location)
+    try:
+        return spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+    finally:
+        stream.close()
+
+
+def write_new(spark: SparkSession, path: str, text: str) -> bool:
+    """Write a small file whole, or not at all if ``path`` is there already; tells which.
+
+    The text goes to a hidden file first, which is renamed without replacing, so readers never
+    see a part of it and of two writers just one succeeds.
+    """
+    fs, location = _fs(spark, path)
+    hadoop, gateway = spark.sparkContext._jvm.org.apache.hadoop.fs, spark.sparkContext._gateway
+    draft = hadoop.Path(location.getParent(), f".{location.getName()}.{uuid.uuid4().hex}")
+    out = fs.create(draft, False)
+    try:
+        out.write(bytearray(text.encode()))
+    finally:
+        out.close()
+    rename = getattr(hadoop, "Options$Rename")
+    options = gateway.new_array(rename, 1)
+    options[0] = rename.NONE
+    context = hadoop.FileContext.getFileContext(location.toUri(), spark.sparkContext._jsc.hadoopConfiguration())
+    try:
+        context.rename(draft, location, options)
+    except Py4JJavaError:
+        fs.delete(draft, False)
+        if fs.exists(location):
+            return False
+        raise
+    return True
