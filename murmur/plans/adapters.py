@@ -123,6 +123,14 @@ def mentions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return explode_symbols(dedupe_latest(clean_posts(spark, sf_dir)))
 
 
+def basket_posts(spark: SparkSession, sf_dir: str, kinds: int = 1) -> DataFrame:
+    """A post for each user and day, tagged with all that the user did; ``kinds`` symbols per event type."""
+    k = F.get_json_object("props", "$.k").cast("bigint")
+    symbol = F.upper("event_type") if kinds == 1 else F.concat(F.upper("event_type"), k % kinds)
+    days = table(spark, sf_dir, "events").groupBy("user_id", F.to_date("ts").alias("day"))
+    return days.agg(F.collect_list(symbol).alias("cashtags"))
+
+
 def hashtag_hours(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events as the hashtag-hour table."""
     k = F.get_json_object("props", "$.k").cast("bigint")

@@ -27,10 +27,16 @@ def _normalized(spark, sf_dir):
     return normalize_posts(A.posts_of(A.event_stream(spark, sf_dir), unique_ids=True))
 
 
-def _messages(spark, sf_dir):
+def _messages(spark, sf_dir, late=False):
+    """The posts of :func:`message_lines`, normalised."""
+    return pipeline.normalized_stream(message_lines(spark, sf_dir, late))
+
+
+def message_lines(spark, sf_dir, late=False):
     """Messages in ``FILES`` files, each later in time than the one before, a file per batch.
 
-    A sixth of the first dialect's posts is sent twice; all of these are valid.
+    A sixth of the first dialect's posts is sent twice; all of these are valid.  ``late``: with the
+    last file, some posts of the first day come in under new ids.
     """
     folder = scratch_path(spark, "stream_messages")
     posts = A.raw_posts(spark, sf_dir, unique_ids=True)
@@ -41,8 +47,13 @@ def _messages(spark, sf_dir):
         part = posts if low is None else posts.where(F.col("observed_at") >= F.lit(low))
         part = part if high is None else part.where(F.col("observed_at") < F.lit(high))
         twice = part.where("tweet_id IS NOT NULL AND k % 6 = 4")
-        A.messages_of(part.union(twice)).select("value").coalesce(1).write.mode("append").text(folder)
-    return pipeline.normalized_stream(stream_lines(spark, folder))
+        sent = part.union(twice)
+        if late and high is None:
+            early = posts.where((F.col("observed_at") < F.lit(first + timedelta(days=1))) & (F.col("k") % 11 == 3))
+            renamed = {c: F.concat(F.lit("late-"), c) for c in ("tweet_id", "id")}
+            sent = sent.union(early.where("k < 96").withColumns(renamed))
+        A.messages_of(sent).select("value").coalesce(1).write.mode("append").text(folder)
+    return stream_lines(spark, folder)
 
 
 def _appended(df, spark, name, mode):

@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
 
 from murmur.sinks.upsert import TrendTable, append_batch
-from murmur.streaming.pipeline import stream_outputs
+from murmur.streaming.one_pass import OnePass
+from murmur.streaming.pipeline import normalized_stream, stream_outputs
 
 # The console queries' trigger and row counts.
 TOTALS_TRIGGER = "3 seconds"
@@ -83,6 +84,13 @@ def start_append(
     )
 
 
+def start_one_pass(
+    messages: DataFrame, sinks: OnePass, checkpoint: str, name: str = "one_pass", trigger: dict | None = None
+) -> StreamingQuery:
+    """All outputs from one query that reads and parses every message once."""
+    return start_foreach(normalized_stream(messages), sinks.write_batch, checkpoint, name, "append", trigger)
+
+
 def start_jobs(
     messages: DataFrame,
     checkpoint_root: str,
