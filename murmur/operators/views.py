@@ -166,6 +166,29 @@ def geo_grid(df: DataFrame, cell: float = 5.0) -> DataFrame:
     )
 
 
+def geo_density(df: DataFrame, cell: float = 5.0, radius: int = 2) -> DataFrame:
+    """The grid smoothed with a kernel that falls evenly to nothing beyond ``radius`` cells.
+
+    The kernel is a product of one for each axis, so two passes of 2 * radius + 1 neighbours do
+    instead of their square.  Copies are summed in their tasks, and there are no more cells than the
+    globe has.  Longitudes go round; what lies beyond a pole is lost, as it is outside of the map.
+    """
+    around, top = round(360 / cell), round(90 / cell)
+    falling = F.lit(radius + 1) - F.abs(F.col("d"))
+
+    def spread(grid: DataFrame, axis: str, moved: Column, other: str) -> DataFrame:
+        steps = F.explode(F.sequence(F.lit(-radius), F.lit(radius))).alias("d")
+        copies = grid.select(axis, other, "weight", steps)
+        copies = copies.select(moved.alias(axis), other, (F.col("weight") * falling).alias("weight"))
+        return copies.groupBy("lat_cell", "lon_cell").agg(F.sum("weight").alias("weight"))
+
+    half = F.lit(around // 2).cast("bigint")
+    east = F.pmod(F.col("lon_cell") + F.col("d") + half, F.lit(around).cast("bigint")) - half
+    wide = spread(geo_grid(df, cell), "lon_cell", east, "lat_cell")
+    high = spread(wide, "lat_cell", F.col("lat_cell") + F.col("d"), "lon_cell")
+    return high.where(F.col("lat_cell").between(-top, top - 1)).withColumnRenamed("weight", "density")
+
+
 # --- ranks, top-k, pages ---------------------------------------------------
 
 

@@ -159,6 +159,20 @@ def geo_grid(spark, sf_dir):
     return V.geo_grid(A.hashtag_hours(spark, sf_dir))
 
 
+@query(
+    A.HOURS_SQL
+    + """, cells AS (
+        SELECT cast(floor(lat / 5) AS BIGINT) AS lat_cell, cast(floor(lon / 5) AS BIGINT) AS lon_cell, sum(count) AS weight
+        FROM hours WHERE lat IS NOT NULL AND lon IS NOT NULL GROUP BY ALL)
+      SELECT lat_cell + north AS lat_cell, (lon_cell + east + 36 + 72) % 72 - 36 AS lon_cell,
+             cast(sum(weight * (3 - abs(north)) * (3 - abs(east))) AS BIGINT) AS density
+      FROM cells, range(-2, 3) n(north), range(-2, 3) e(east)
+      WHERE lat_cell + north BETWEEN -18 AND 17 GROUP BY ALL"""
+)
+def geo_density(spark, sf_dir):
+    return V.geo_density(A.hashtag_hours(spark, sf_dir))
+
+
 @query(
     A.HOURS_SQL
     + """, newest AS (SELECT max(timestamp) AS t FROM hours),
