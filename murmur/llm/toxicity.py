@@ -9,7 +9,7 @@ was made from.  A text's score is the toxic probability of its most toxic passag
 
 Training takes a sample of labelled rows with a documented bound: up to ``SAMPLE`` toxic and
 ``SAMPLE`` other documents, chosen by a hash of their id, so the driver's memory does not
-grow with the input; of each at most ``TRAIN_PASSAGES`` passages.  Scoring reads whole texts.
+grow with the number of documents.  Training and scoring read whole texts.
 
 Defined results: a null or empty text scores as a passage without n-grams, by the softmax's
 bias alone.  Without labelled documents of both classes every score is next to 0.  Rows
@@ -31,10 +31,12 @@ from murmur.llm.texts import code_points, prefix_sums, rows_of, spaces, word_spa
 
 PASSAGE, GRAMS = 24, (4, 5, 6)
 BUCKETS, DIMENSIONS = 1 << 20, 8
-SAMPLE, TRAIN_PASSAGES = 1500, 48
+SAMPLE = 1500
 EPOCHS, RATE, DECAY = 60, 0.03, 2e-6
 #: Pseudo-documents that pull an n-gram's starting evidence to none, and the least to be kept.
 PRIOR, LEAST = 10.0, 0.5
+#: N-grams of the documents that a training step holds at once.
+STEP_GRAMS = 1 << 21
 _SPREAD = np.uint64(0xD6E8FEB86659FD93)
 
 
@@ -85,56 +87,67 @@ class Model:
         return float(1 / (1 + np.exp(-np.clip(margin, -60, 60))))
 
 
-def _document_features(text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Buckets, passage numbers, and n-grams per passage; at most ``TRAIN_PASSAGES``, evenly spread."""
+def _document_features(text: str) -> tuple[np.ndarray, np.ndarray, int]:
+    """Buckets in the order of the passages, the passage of each, and the number of passages."""
     passages = Passages(text)
-    n = len(passages.starts)
-    own = min(n, TRAIN_PASSAGES)
-    number = np.full(n, -1)
-    number[np.linspace(0, n - 1, own).astype(int)] = np.arange(own)
     grams, within = [], []
     for buckets, valid in passages.grams():
         at = np.flatnonzero(valid)
-        passage = number[np.searchsorted(passages.starts, at, side="right") - 1]
-        grams.append(buckets[at][passage >= 0])
-        within.append(passage[passage >= 0])
-    within = np.concatenate(within) if within else np.zeros(0, np.int64)
-    grams = np.concatenate(grams) if grams else np.zeros(0, np.int64)
-    return grams.astype(np.int32), within.astype(np.int32), np.maximum(np.bincount(within, minlength=own), 1)
+        grams.append(buckets[at].astype(np.int32))
+        within.append((np.searchsorted(passages.starts, at, side="right") - 1).astype(np.int32))
+    if not grams:
+        return np.zeros(0, np.int32), np.zeros(0, np.int32), len(passages.starts)
+    grams, within = np.concatenate(grams), np.concatenate(within)
+    order = np.argsort(within, kind="stable")
+    return grams[order], within[order], len(passages.starts)
 
 
-def train(texts: list[str], toxic: list[bool], seed: int = 7) -> Model:
+@dataclass(frozen=True)
+class _Document:
+    """A training document: its n-grams that have a vector, by passage, and all n-grams of each passage."""
+
+    grams: np.ndarray
+    having: np.ndarray
+    counts: np.ndarray
+
+
+def starting_odds(having: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The log of how much more often toxic documents have an n-gram, shrunk.
+
+    ``having`` are the documents of each class (0, 1) with the n-gram, ``sizes`` all of each.  Pseudo-
+    documents are dealt to the classes by their sizes, so an n-gram in none has odds of 0 however
+    unequal the classes are.
+    """
+    n = sizes.sum()
+    pseudo = 1 + 2 * PRIOR * having.sum(axis=0) / n
+    shares = [(having[c] + pseudo * (sizes[c] / n)) / sizes[c] for c in (0, 1)]
+    return np.log(shares[1]) - np.log(shares[0])
+
+
+def train(texts: list[str], toxic: list[bool], seed: int = 7, epochs: int = EPOCHS) -> Model:
     """Fit vectors and softmax with Adam on whole batches; the result depends on the input and seed only.
 
-    An n-gram starts with the log of how much more often toxic documents have it, shrunk by
-    ``PRIOR``.  N-grams that start with little evidence stay neutral: they count in the
-    averages but have no vector.
+    An n-gram starts with its :func:`starting_odds`.  N-grams that start with little evidence stay
+    neutral, as all do that stand in no training document: they count in the averages but have no
+    vector.  A batch's gradient is summed over steps of ``STEP_GRAMS`` n-grams, which bounds memory.
     """
     labels = np.array(toxic, float)
     if not len(labels) or labels.min() == labels.max():
         return Model(np.zeros(BUCKETS, np.float32), -60.0)
-    held = [_document_features(text) for text in texts]
     having = np.zeros((2, BUCKETS), np.float32)
-    for (grams, _, _), label in zip(held, toxic):
-        having[int(label), np.unique(grams)] += 1
-    sizes = np.array([(labels == 0).sum(), labels.sum()])
-    expected = PRIOR * having.sum(axis=0) / sizes.sum() + 0.5
-    odds = np.log((having[1] + expected) / (sizes[1] + PRIOR)) - np.log((having[0] + expected) / (sizes[0] + PRIOR))
-    used = np.flatnonzero(np.abs(odds) >= LEAST)
+    for text, label in zip(texts, toxic):
+        having[int(label), np.unique(_document_features(text)[0])] += 1
+    odds = starting_odds(having, np.array([(labels == 0).sum(), labels.sum()]))
+    used = np.flatnonzero((np.abs(odds) >= LEAST) & (having.sum(axis=0) > 0))
     index = np.full(BUCKETS, -1, np.int32)
     index[used] = np.arange(len(used))
-    grams, passage_of, counts = [], [], []
-    n_passages = 0
-    for found, within, of in held:
+    documents = []
+    for text in texts:
+        found, within, n = _document_features(text)
         kept = index[found] >= 0
-        grams.append(index[found[kept]])
-        passage_of.append(within[kept] + n_passages)
-        counts.append(of)
-        n_passages += len(of)
-    starts = np.cumsum([0, *map(len, counts)])[:-1]
-    doc_of = np.repeat(np.arange(len(counts)), [len(c) for c in counts])
-    grams, passage_of, counts = np.concatenate(grams), np.concatenate(passage_of), np.concatenate(counts).astype(np.float32)
-    del held, having
+        having_own = np.bincount(within[kept], minlength=n)
+        documents.append(_Document(index[found[kept]], having_own, np.maximum(np.bincount(within, minlength=n), 1)))
+    steps = _steps(documents)
     rng = np.random.default_rng(seed)
     vectors = rng.normal(0, 0.05, (len(used), DIMENSIONS)).astype(np.float32)
     vectors[:, 0] = odds[used]
@@ -143,34 +156,55 @@ def train(texts: list[str], toxic: list[bool], seed: int = 7) -> Model:
     bias = np.zeros(2, np.float32)
     share = np.where(labels > 0, 0.5 / labels.sum(), 0.5 / (1 - labels).sum())
     state = [[np.zeros_like(p), np.zeros_like(p)] for p in (vectors, weights, bias)]
-    for epoch in range(1, EPOCHS + 1):
-        means = _sums(vectors, grams, passage_of, n_passages) / counts[:, None]
-        logits = means @ weights + bias
-        margin = (logits[:, 1] - logits[:, 0]).astype(np.float64)
-        # Soft maximum of a document's passages; the gradient goes to each by its part in it.
-        top = np.maximum.reduceat(margin, starts)
-        raised = np.exp(margin - top[doc_of])
-        total = np.add.reduceat(raised, starts)
-        document = np.add.reduceat(raised * margin, starts) / total
-        error = share * (1 / (1 + np.exp(-np.clip(document, -60, 60))) - labels)
-        slope = (error / total)[doc_of] * raised
-        d_logits = np.stack([-slope, slope], axis=1).astype(np.float32)
-        d_means = (d_logits @ weights.T) / counts[:, None]
-        gradients = (
-            _sums(d_means, passage_of, grams, len(used)) + DECAY * vectors,
-            means.T @ d_logits,
-            d_logits.sum(axis=0),
-        )
-        for parameter, gradient, (first, second) in zip((vectors, weights, bias), gradients, state):
-            first += 0.1 * (gradient - first)
-            second += 0.02 * (gradient * gradient - second)
+    for epoch in range(1, epochs + 1):
+        gradients = [DECAY * vectors, np.zeros_like(weights), np.zeros_like(bias)]
+        for first, last in steps:
+            own = slice(first, last)
+            _add_gradients(gradients, documents[own], labels[own], share[own], vectors, weights, bias)
+        for parameter, gradient, (mean, square) in zip((vectors, weights, bias), gradients, state):
+            mean += 0.1 * (gradient - mean)
+            square += 0.02 * (gradient * gradient - square)
             scale = np.sqrt(1 - 0.98**epoch) / (1 - 0.9**epoch)
-            parameter -= RATE * scale * first / (np.sqrt(second) + 1e-8)
+            parameter -= RATE * scale * mean / (np.sqrt(square) + 1e-8)
     evidence = np.zeros(BUCKETS, np.float32)
     evidence[used] = vectors @ (weights[:, 1] - weights[:, 0])
     return Model(evidence, float(bias[1] - bias[0]))
 
 
+def _steps(documents: list[_Document]) -> list[tuple[int, int]]:
+    """Runs of documents with about ``STEP_GRAMS`` n-grams each."""
+    ends = np.cumsum([len(d.grams) for d in documents])
+    cuts = np.flatnonzero(np.diff(ends // STEP_GRAMS)) + 1
+    return list(zip([0, *cuts.tolist()], [*cuts.tolist(), len(documents)]))
+
+
+def _add_gradients(
+    gradients: list[np.ndarray], documents: list[_Document], labels: np.ndarray, share: np.ndarray,
+    vectors: np.ndarray, weights: np.ndarray, bias: np.ndarray,
+) -> None:
+    """Add what a run of documents gives to the gradients of vectors, weights and bias."""
+    grams = np.concatenate([d.grams for d in documents])
+    counts = np.concatenate([d.counts for d in documents]).astype(np.float32)
+    passage_of = np.repeat(np.arange(len(counts)), np.concatenate([d.having for d in documents]))
+    sizes = [len(d.counts) for d in documents]
+    starts = np.cumsum([0, *sizes])[:-1]
+    doc_of = np.repeat(np.arange(len(documents)), sizes)
+    means = _sums(vectors, grams, passage_of, len(counts)) / counts[:, None]
+    logits = means @ weights + bias
+    margin = (logits[:, 1] - logits[:, 0]).astype(np.float64)
+    # Soft maximum of a document's passages; the gradient goes to each by its part in it.
+    top = np.maximum.reduceat(margin, starts)
+    raised = np.exp(margin - top[doc_of])
+    total = np.add.reduceat(raised, starts)
+    document = np.add.reduceat(raised * margin, starts) / total
+    error = share * (1 / (1 + np.exp(-np.clip(document, -60, 60))) - labels)
+    slope = (error / total)[doc_of] * raised
+    d_logits = np.stack([-slope, slope], axis=1).astype(np.float32)
+    gradients[0] += _sums((d_logits @ weights.T) / counts[:, None], passage_of, grams, len(vectors))
+    gradients[1] += means.T @ d_logits
+    gradients[2] += d_logits.sum(axis=0)
+
+
 def _sums(rows: np.ndarray, source: np.ndarray, goal: np.ndarray, n: int) -> np.ndarray:
     """Row ``source[i]`` added to row ``goal[i]`` of the result, for every i."""
     out = np.empty((n, rows.shape[1]), np.float32)
