@@ -1,12 +1,14 @@
 """Line dedup by pairwise alignment.
 
-A text's lines are its ``\\n``-split lines, cut further after words that end a sentence, for
+A text's lines are its ``\n``-split lines, cut further after words that end a sentence, for
 passages also begin and end inside long lines.  A line with enough words that stands once in
 its document, and a shortest run of lines with enough words for a block, link the documents
 that have them to the first of them by id, so what stands in thousands of documents gives
-one link each, not all pairs.  A linked pair is aligned by patience diff over the line
-hashes.  Blocks of aligned lines with enough words are deleted from the later document, and
-so are runs in common that the alignment leaves out, as they repeat or stand in other order.
+one link each, not all pairs.  A linked pair is aligned by patience diff: over the shortest
+runs that both have, each taken where it stands first, so that all are unique.  An aligned run
+grows to the block of equal lines around it, and blocks are deleted from the later document.
+Runs that the alignment leaves out, because they repeat or stand in other order, are aligned
+again until none is left; so all blocks in common are found, and only by alignment.
 
 Defined results: a null or empty text has no lines and stays as it is.  Rows with one id
 never lose lines to each other; towards later documents the one with the smallest text hash
@@ -21,12 +23,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from murmur.llm.storage import stored
-from murmur.llm.texts import SpanHasher, mix, rows_of, spaces, utf8, word_spans
+from murmur.llm.texts import SpanHasher, mix, rows_of, spaces, text_bytes, text_pieces, utf8, word_spans
 
 #: Words that a line needs to link documents, and that a block needs to be deleted.
 LINK_WORDS, BLOCK_WORDS = 4, 25
@@ -125,24 +128,64 @@ def block_runs(lines: np.ndarray, words: np.ndarray, block_words: int) -> tuple[
     last = np.concatenate([ends[ahead], back + 1])
     if not len(first):
         return first, last, np.zeros(0, np.int64)
+    return first, last, _run_hashes(lines, first, last)
+
+
+def _run_hashes(lines: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
     halves = (lines.view(np.uint64) & np.uint64(0xFFFFFFFF), lines.view(np.uint64) >> np.uint64(32))
     low, high = (SpanHasher(half)(first, last) for half in halves)
-    return first, last, mix(low + mix(high)).view(np.int64)
+    return mix(low + mix(high)).view(np.int64)
 
 
 def repeated_lines(own: list[int], words: list[int], other: list[int], other_words: list[int], block_words: int) -> list[int]:
-    """Numbers of the own lines that lie in blocks of enough words, aligned or in common."""
+    """Numbers of the own lines that lie in aligned blocks of enough words."""
+    first, last, runs = (x.tolist() for x in block_runs(np.array(own, np.int64), np.array(words, np.int64), block_words))
+    places: dict[int, int] = {}
+    other_first, _, other_runs = block_runs(np.array(other, np.int64), np.array(other_words, np.int64), block_words)
+    for at in np.argsort(other_first, kind="stable").tolist():
+        places.setdefault(int(other_runs[at]), int(other_first[at]))
+    rest = sorted((a, b, run) for a, b, run in zip(first, last, runs) if run in places)
     found: set[int] = set()
-    for start, _, length in patience(own, other):
-        if sum(words[start : start + length]) >= block_words:
-            found.update(range(start, start + length))
-    first, last, runs = block_runs(np.array(own, np.int64), np.array(words, np.int64), block_words)
-    _, _, others = block_runs(np.array(other, np.int64), np.array(other_words, np.int64), block_words)
-    for at in np.flatnonzero(np.isin(runs, others)).tolist():
-        found.update(range(int(first[at]), int(last[at])))
+    while rest:
+        starts: dict[int, int] = {}
+        for a, _, run in rest:
+            starts.setdefault(run, a)
+        here, there = list(starts), sorted(starts, key=places.__getitem__)
+        blocks = []
+        for i, _, length in patience(here, there):
+            for run in here[i : i + length]:
+                if not blocks or starts[run] >= blocks[-1][1] or starts[run] - places[run] != blocks[-1][2]:
+                    blocks.append(_grown(own, other, starts[run], places[run]))
+        for start, end, _ in blocks:
+            found.update(range(start, end))
+        spans = sorted((start, end) for start, end, _ in blocks)
+        left = [run for run in rest if not _inside(run[0], run[1], spans)]
+        if len(left) == len(rest):
+            break
+        rest = left
     return sorted(found)
 
 
+def _grown(own: list[int], other: list[int], i: int, j: int) -> tuple[int, int, int]:
+    """The block of equal lines around line i of one and j of the other: start, end, and i - j."""
+    start, end, shift = i, i, i - j
+    while start and start - shift and own[start - 1] == other[start - shift - 1]:
+        start -= 1
+    while end < len(own) and end - shift < len(other) and own[end] == other[end - shift]:
+        end += 1
+    return start, end, shift
+
+
+def _inside(first: int, last: int, spans: list[tuple[int, int]]) -> bool:
+    """Whether one of the sorted spans holds the run; spans may overlap."""
+    at = bisect_left(spans, (first + 1,)) - 1
+    while at >= 0:
+        if spans[at][1] >= last:
+            return True
+        at -= 1
+    return False
+
+
 LINES = "id bigint, tie bigint, lines array<bigint>, words array<int>, linking array<boolean>, runs array<bigint>"
 FIRST_ID = -(1 << 63)
 
@@ -155,23 +198,78 @@ def key_columns(doc_id: str, text: str) -> list[Column]:
     ]
 
 
+def batch_spans(chars: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Start, end and words of each line of many texts that lie one after the other, and each text's first line.
+
+    Text k has the bytes from ``bounds[k]`` to ``bounds[k + 1]``; no line reaches into the next text.
+    """
+    solid = np.zeros(len(chars) + 2, bool)
+    solid[1:-1] = ~spaces(chars)
+    inner = bounds[(bounds > 0) & (bounds < len(chars))]
+    begins, ends_here = solid[1:-1] & ~solid[:-2], solid[1:-1] & ~solid[2:]
+    begins[inner] = solid[1:-1][inner]
+    ends_here[inner - 1] = solid[1:-1][inner - 1]
+    starts, ends = np.flatnonzero(begins), np.flatnonzero(ends_here) + 1
+    if not len(starts):
+        return starts, ends, starts, np.zeros(len(bounds), np.int64)
+    closing = np.isin(chars[ends - 1], np.frombuffer(SENTENCE_ENDS, np.uint8))
+    breaks = np.concatenate([[0], np.cumsum(chars == 10)])
+    closing[:-1] |= breaks[starts[1:]] > breaks[ends[:-1]]
+    # The last word of each text.
+    words_before = np.searchsorted(starts, bounds)
+    closing[words_before[1:][np.diff(words_before) > 0] - 1] = True
+    last = np.flatnonzero(closing)
+    first = np.concatenate([[0], last[:-1] + 1])
+    return starts[first], ends[last], last - first + 1, np.searchsorted(first, words_before)
+
+
+def batch_runs(lines: np.ndarray, words: np.ndarray, firsts: np.ndarray, block_words: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the runs of :func:`block_runs` for many texts at once, and the text of each.
+
+    Text k has the lines from ``firsts[k]`` to ``firsts[k + 1]``.
+    """
+    n, text_of = len(lines), np.repeat(np.arange(len(firsts) - 1), np.diff(firsts))
+    low, high = firsts[text_of], firsts[text_of + 1]
+    sums = np.concatenate([[0], np.cumsum(words, dtype=np.int64)])
+    ends = np.searchsorted(sums, sums[:-1] + block_words)
+    starts = np.searchsorted(sums, sums[1:] - block_words, side="right") - 1
+    ahead = np.flatnonzero(ends <= high)
+    back = np.flatnonzero(starts >= low)
+    # Those that also begin at their first line are there already.
+    back = back[ends[starts[back]] != back + 1]
+    first, last = np.concatenate([ahead, starts[back]]), np.concatenate([ends[ahead], back + 1])
+    if not n or not len(first):
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    order = np.argsort(text_of[first], kind="stable")
+    first, last = first[order], last[order]
+    return _run_hashes(lines, first, last), text_of[first]
+
+
+def _lists(values: np.ndarray, counts: np.ndarray, kind: pa.DataType) -> pa.ListArray:
+    """``values`` cut into lists of these lengths."""
+    offsets = np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(values, kind))
+
+
 def document_lines(docs: DataFrame, doc_id: str, text: str, link_words: int, block_words: int) -> DataFrame:
     """Hashes and word counts of each document's lines, which of them link, and the runs that link."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in rows_of(batches):
-            hashes, counts, linking, runs = [], [], [], []
-            for body in batch.column(2).to_pylist():
-                chars = utf8(body or "")
-                starts, ends, words = line_spans(chars)
-                lines = SpanHasher(chars)(starts, ends).view(np.int64)
-                _, which, times = np.unique(lines, return_inverse=True, return_counts=True)
-                hashes.append(lines)
-                counts.append(words.astype(np.int32))
-                linking.append((words >= link_words) & (times[which] == 1))
-                runs.append(np.unique(block_runs(lines, words, block_words)[2]))
-            kinds = (pa.int64(), pa.int32(), pa.bool_(), pa.int64())
-            columns = [pa.array(c, pa.list_(k)) for c, k in zip((hashes, counts, linking, runs), kinds)]
+        for batch in text_pieces(batches, 2):
+            chars, bounds = text_bytes(batch.column(2))
+            starts, ends, words, firsts = batch_spans(chars, bounds)
+            lines = SpanHasher(chars)(starts, ends).view(np.int64)
+            sizes = np.diff(firsts)
+            text_of = np.repeat(np.arange(len(sizes)), sizes)
+            # A text's number keeps its lines apart from equal ones of other texts.
+            own = mix(lines.view(np.uint64) ^ mix(text_of.astype(np.uint64)))
+            _, which, times = np.unique(own, return_inverse=True, return_counts=True)
+            runs, run_of = batch_runs(lines, words, firsts, block_words)
+            columns = [
+                _lists(lines, sizes, pa.int64()), _lists(words.astype(np.int32), sizes, pa.int32()),
+                _lists((words >= link_words) & (times[which] == 1), sizes, pa.bool_()),
+                _lists(runs, np.bincount(run_of, minlength=len(sizes)), pa.int64()),
+            ]
             names = ["id", "tie", "lines", "words", "linking", "runs"]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *columns], names)
 
@@ -201,9 +299,8 @@ def links(lines: DataFrame, block_words: int) -> DataFrame:
     )
 
 
-def deletions(docs: DataFrame, doc_id: str, text: str, link_words: int, block_words: int) -> DataFrame:
+def deletions(lines: DataFrame, block_words: int) -> DataFrame:
     """(id, tie, deleted, partners): line numbers to delete, and the documents that keep them."""
-    lines = stored(document_lines(docs, doc_id, text, link_words, block_words), "lines")
     pairs = stored(links(lines, block_words), "line-links")
     linked = pairs.select(F.explode(F.array("id", "earlier")).alias("id")).distinct()
     linked = stored(lines.drop("linking", "runs").join(linked, "id", "left_semi").dropDuplicates(["id", "tie"]), "linked-lines")
@@ -262,20 +359,37 @@ def deduplicate_lines(
     docs: DataFrame, doc_id: str = "doc_id", text: str = "text", link_words: int = LINK_WORDS, block_words: int = BLOCK_WORDS
 ) -> DataFrame:
     """(doc, result): the document's columns as they were, and what is left of its text."""
-    gone = stored(deletions(docs, doc_id, text, link_words, block_words), "line-deletions")
+    lines = stored(document_lines(docs, doc_id, text, link_words, block_words), "lines")
+    gone = deletions(lines, block_words)
+    # Rows of one id and one text have the same lines.
+    counts = lines.groupBy("id", "tie").agg(F.max(F.size("lines")).alias("n_lines"))
+    judged = stored(counts.join(gone, ["id", "tie"], "left"), "line-deletions")
     rows = docs.select(F.struct("*").alias("doc"), *key_columns(doc_id, text))
-    joined = rows.join(gone, ["id", "tie"], "left").select("doc", "deleted", "partners")
+    joined = rows.join(judged, ["id", "tie"], "left").select("doc", "n_lines", "deleted", "partners")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in rows_of(batches):
-            doc, results = batch.column(0), []
-            for body, deleted, partners in zip(doc.field(text).to_pylist(), *(batch.column(c).to_pylist() for c in (1, 2))):
-                _, _, words = line_spans(utf8(body or ""))
-                kept = without_lines(body, deleted) if deleted else body
-                gone_words = int(words[deleted].sum()) if deleted else 0
-                results.append((len(words), deleted or [], gone_words, partners or [], kept))
-            kinds = (pa.int64(), pa.list_(pa.int32()), pa.int64(), pa.list_(pa.int64()), pa.string())
-            columns = [pa.array(c, k) for c, k in zip(zip(*results), kinds)]
+            doc = batch.column(0)
+            bodies = doc.field(text)
+            # Most texts stay as they are, and never become Python objects.
+            touched = pc.indices_nonzero(pc.is_valid(batch.column(2))).to_pylist()
+            gone_words, kept = np.zeros(batch.num_rows, np.int64), []
+            for row in touched:
+                body, deleted = bodies[row].as_py(), batch.column(2)[row].as_py()
+                _, _, words = line_spans(utf8(body))
+                gone_words[row] = words[deleted].sum()
+                kept.append(without_lines(body, deleted))
+            mask = np.zeros(batch.num_rows, bool)
+            mask[touched] = True
+            texts = pc.replace_with_mask(bodies, pa.array(mask), pa.array(kept, pa.string())) if kept else bodies
+            nothing = lambda kind: pa.scalar([], pa.list_(kind))
+            columns = [
+                batch.column(1).cast(pa.int64()),
+                pc.if_else(pa.array(mask), batch.column(2), nothing(pa.int32())),
+                pa.array(gone_words),
+                pc.if_else(pa.array(mask), batch.column(3), nothing(pa.int64())),
+                texts,
+            ]
             yield pa.RecordBatch.from_arrays([doc, pa.StructArray.from_arrays(columns, RESULT.names)], ["doc", "result"])
 
     return joined.mapInArrow(cut, T.StructType([rows.schema["doc"], T.StructField("result", RESULT)]))

@@ -124,3 +124,25 @@ def rows_of(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[pa.R
     for batch in batches:
         for start in range(0, batch.num_rows, rows):
             yield batch.slice(start, rows)
+
+
+def text_pieces(batches: Iterator[pa.RecordBatch], column: int, size: int = 1 << 20) -> Iterator[pa.RecordBatch]:
+    """The same rows in pieces whose texts in ``column`` have about ``size`` bytes, or one row each."""
+    for batch in batches:
+        _, bounds = text_bytes(batch.column(column))
+        first = 0
+        while first < batch.num_rows:
+            last = max(first + 1, int(np.searchsorted(bounds, bounds[first] + size)) - 1)
+            yield batch.slice(first, min(last, batch.num_rows) - first)
+            first = last
+
+
+def text_bytes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The UTF-8 bytes of all texts in one array, and where each begins and the last ends; null is empty."""
+    wide = pa.types.is_large_string(texts.type)
+    _, offsets, data = texts.buffers()
+    if not len(texts) or offsets is None:
+        return np.zeros(0, np.uint8), np.zeros(len(texts) + 1, np.int64)
+    bounds = np.frombuffer(offsets, np.int64 if wide else np.int32)[texts.offset : texts.offset + len(texts) + 1].astype(np.int64)
+    held = np.frombuffer(data, np.uint8) if data else np.zeros(0, np.uint8)
+    return held[bounds[0] : bounds[-1]], bounds - bounds[0]
