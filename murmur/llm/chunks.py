@@ -39,13 +39,19 @@ def safe_chunks(text: str) -> list[str]:
 
 
 class ChunkMemory:
-    """Encodes texts as lists of their chunks' values."""
+    """Encodes texts as lists of their chunks' values.
+
+    Chunks that white space ties to a neighbour have no value of their own (None); such a run of
+    chunks is encoded, and remembered, as one.
+    """
 
     def __init__(self, encode_all: Callable[[list[str]], list]):
         self._encode_all = encode_all
         self._young: dict[str, object] = {}
         self._old: dict[str, object] = {}
         self._chars = 0
+        self._runs: dict[str, object] = {}
+        self._run_chars = 0
 
     def _learn(self, missing: set[str]) -> None:
         if len(self._young) >= GENERATION or self._chars >= GENERATION_CHARS:
@@ -60,6 +66,40 @@ class ChunkMemory:
         if told:
             young.update(zip(told, self._encode_all(told)))
 
+    def _tied(self, chunks: list[str], values: list) -> list:
+        """The values with one for each run of tied chunks."""
+        out: list = []
+        runs: list[tuple[int, str]] = []
+        at = 0
+        while True:
+            try:
+                i = values.index(None, at)
+            except ValueError:
+                break
+            chunk = chunks[i]
+            # What ends in white space was taken up by the run before.
+            first = i - 1 if i > at and (chunk == " " or chunk[1:2].isspace()) else i
+            last = i + 1
+            while last < len(chunks) and (chunks[last - 1][-1:].isspace() or chunks[last] == " " or chunks[last][1:2].isspace()):
+                last += 1
+            out += values[at:first]
+            runs.append((len(out), "".join(chunks[first:last])))
+            out.append(None)
+            at = last
+        out += values[at:]
+        known = self._runs
+        missing = list({run for _, run in runs if run not in known})
+        if missing:
+            if len(known) >= GENERATION or self._run_chars >= GENERATION_CHARS:
+                # Those of this text are learnt anew.
+                self._runs = known = {}
+                self._run_chars, missing = 0, list({run for _, run in runs})
+            self._run_chars += sum(map(len, missing))
+            known.update(zip(missing, self._encode_all(missing)))
+        for place, run in runs:
+            out[place] = known[run]
+        return out
+
     def __call__(self, text: str) -> list:
         chunks = _cut(text)
         try:
@@ -70,6 +110,4 @@ class ChunkMemory:
             if missing := set(chunks).difference(self._young):
                 self._learn(missing)
             values = list(map(self._young.__getitem__, chunks))
-        if None in values:
-            return self._encode_all(safe_chunks(text))
-        return values
+        return self._tied(chunks, values) if None in values else values

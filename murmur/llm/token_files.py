@@ -23,7 +23,7 @@ import json
 import os
 import struct
 import zlib
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -38,6 +38,8 @@ from murmur.llm.texts import rows_of
 
 MAGIC = b"TOKEF001"
 SAMPLE = 256
+#: Documents whose boundaries a reader has at once.
+READ_DOCS = 1000
 
 
 class EliasFano:
@@ -63,33 +65,39 @@ class EliasFano:
         pack = lambda bits: np.packbits(bits, bitorder="little").tobytes()
         return low_bits, pack(low), pack(high), ones[::SAMPLE].astype("<u4").tobytes()
 
-    def _low_part(self, i: int) -> int:
-        first = i * self._low_bits
-        bits = np.unpackbits(self._low[first // 8 : (first + self._low_bits + 7) // 8], bitorder="little")
-        own = bits[first % 8 : first % 8 + self._low_bits]
-        return int(own @ (1 << np.arange(self._low_bits, dtype=np.int64))) if self._low_bits else 0
+    def _low_parts(self, first: int, count: int) -> np.ndarray:
+        width, start = self._low_bits, first * self._low_bits
+        if not width:
+            return np.zeros(count, np.int64)
+        bits = np.unpackbits(self._low[start // 8 : (start + count * width + 7) // 8], bitorder="little")
+        own = bits[start % 8 : start % 8 + count * width].reshape(count, width)
+        return own @ (1 << np.arange(width, dtype=np.int64))
 
     def select(self, i: int) -> int:
         """Entry ``i``, from the nearest sampled one on."""
-        if not 0 <= i < self._n:
-            raise IndexError(i)
-        start = int(self._samples[i // SAMPLE])
-        wanted, byte, window = i % SAMPLE, start // 8, 64
+        return int(self.selects(i, 1)[0])
+
+    def selects(self, first: int, count: int) -> np.ndarray:
+        """``count`` entries from ``first`` on; only these, and fewer than ``SAMPLE`` more, are looked at."""
+        if not 0 <= first <= first + count <= self._n:
+            raise IndexError((first, count))
+        if not count:
+            return np.zeros(0, np.int64)
+        start = int(self._samples[first // SAMPLE])
+        skipped, byte, window = first % SAMPLE, start // 8, 64 + count // 4
         while True:
             bits = np.unpackbits(self._high[byte : byte + window], bitorder="little")
             bits[: start % 8] = 0
             ones = np.flatnonzero(bits)
-            if len(ones) > wanted:
+            if len(ones) >= skipped + count:
                 break
             window *= 2
-        return ((byte * 8 + int(ones[wanted]) - i) << self._low_bits) | self._low_part(i)
+        high = byte * 8 + ones[skipped : skipped + count] - np.arange(first, first + count)
+        return (high << self._low_bits) | self._low_parts(first, count)
 
     def all(self) -> np.ndarray:
         """Every entry."""
-        ones = np.flatnonzero(np.unpackbits(self._high, bitorder="little"))[: self._n]
-        high = (ones - np.arange(self._n)) << self._low_bits
-        bits = np.unpackbits(self._low, bitorder="little")[: self._n * self._low_bits].reshape(self._n, self._low_bits)
-        return high + bits @ (1 << np.arange(self._low_bits, dtype=np.int64))
+        return self.selects(0, self._n)
 
 
 def file_bytes(doc_ids: list[int | None], lengths: list[int], ids: bytes, width: int) -> list[bytes]:
@@ -137,9 +145,15 @@ def cuts_are_safe(tokenizer: dict) -> bool:
     )
 
 
+def check_width(ids: Iterable[int], width: int) -> None:
+    """An error if some id does not fit into ``width`` bytes."""
+    if (largest := max(ids, default=0)) >= 1 << 8 * width:
+        raise ValueError(f"ids of up to {largest} do not fit into {width} bytes")
+
+
 @lru_cache(maxsize=2)
-def encoder(path: str) -> Callable[[str], list]:
-    """Texts to lists of 32-bit id strings, by the tokenizers library.
+def encoder(path: str, width: int = 4) -> Callable[[str], list]:
+    """Texts to lists of strings of ids of ``width`` bytes, by the tokenizers library.
 
     The library encodes chunks, which are remembered, or the whole text if its tokenizer
     may join what lies on both sides of a cut.
@@ -149,8 +163,11 @@ def encoder(path: str) -> Callable[[str], list]:
 
     tokenizer = Tokenizer.from_file(path)
 
+    kind = {2: "H", 4: "I"}[width]
+    check_width(tokenizer.get_vocab(with_added_tokens=True).values(), width)
+
     def encode(chunks: list[str]) -> list[bytes]:
-        return [array.array("I", e.ids).tobytes() for e in tokenizer.encode_batch_fast(chunks, add_special_tokens=False)]
+        return [array.array(kind, e.ids).tobytes() for e in tokenizer.encode_batch_fast(chunks, add_special_tokens=False)]
 
     return ChunkMemory(encode) if cuts_are_safe(json.loads(tokenizer.to_str())) else lambda text: encode([text])
 
@@ -176,15 +193,16 @@ def write_token_files(
     The tokenizer splits texts itself; ``pattern`` is not needed and has no effect.
     """
     width = 2 if vocabulary <= 1 << 16 else 4
+    check_width([end_id], width)
     order = [F.col("doc_id").asc_nulls_first(), F.xxhash64("text")]
     rows = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).alias("text"))
     ranged = rows.repartitionByRange(partitions_for(docs), *order).sortWithinPartitions(*order)
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, task = encoder(path), TaskContext.get()
+        encode, task = encoder(path, width), TaskContext.get()
         system, place = filesystem(folder)
         system.create_dir(place, recursive=True)
-        end = struct.pack("<I", end_id)
+        end = end_id.to_bytes(width, "little")
         written: list[tuple] = []
         names: list[int | None] = []
         lengths: list[int] = []
@@ -203,8 +221,8 @@ def write_token_files(
             for name, body in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 ids = b"".join([*encode(body or ""), end])
                 names.append(name)
-                lengths.append(len(ids) // 4)
-                held.append(ids if width == 4 else np.frombuffer(ids, "<u4").astype("<u2").tobytes())
+                lengths.append(len(ids) // width)
+                held.append(ids)
             if sum(lengths) >= file_ids:
                 close()
         if names:
@@ -229,13 +247,13 @@ def read_token_files(files: DataFrame, folder: str, with_ids: bool = True) -> Da
             for file, base in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 with system.open_input_stream(f"{place}/{file}", compression=None) as stream:
                     held = TokenFile(stream.read())
-                ends = held.boundaries.all()
-                for first in range(0, held.n_docs, 1000):
-                    own = range(first, min(first + 1000, held.n_docs))
-                    ids = [held.ids[ends[i] : ends[i + 1]].astype("<u4").tobytes() for i in own]
+                for first in range(0, held.n_docs, READ_DOCS):
+                    own = min(READ_DOCS, held.n_docs - first)
+                    ends = held.boundaries.selects(first, own + 1)
+                    ids = [held.ids[a:b].astype("<u4").tobytes() for a, b in zip(ends.tolist(), ends[1:].tolist())]
                     columns = [
-                        pa.array([held.doc_ids[i] for i in own], pa.int64()),
-                        pa.array([base + int(ends[i]) for i in own], pa.int64()),
+                        pa.array(held.doc_ids[first : first + own], pa.int64()),
+                        pa.array(base + ends[:-1], pa.int64()),
                         pa.array([len(x) // 4 for x in ids], pa.int64()),
                         pa.array([zlib.crc32(x) for x in ids], pa.int64()),
                         *([pa.array(ids, pa.binary())] if with_ids else []),
