@@ -7,6 +7,11 @@ language's documents have it.  Such a word has that share in at least one part o
 documents, so each task proposes the words that are common in its own rows, and a second
 pass counts the proposed words exactly.
 
+A histogram of many words over few draws is far from any reference by chance alone, a good
+text's as far as one without a single common word.  So the common words are put into bins of
+equal shares, frequent words first, one for every ``words_per_bin`` words of the text; what
+remains of chance is measured by drawing as many words from the reference itself.
+
 Defined results: a null or empty text has no words and fails the base rules.  A document
 whose language is null, or has fewer than ``min_language_docs`` documents, is held against
 all references, and the nearest counts; with no reference at all, base rules alone decide.
@@ -53,8 +58,10 @@ CLASS_OF = _class_table()
 class Limits:
     """Base rules and thresholds of the distances (base 2, from 0 to 1).
 
-    A histogram of few words is far from any reference by chance alone, by an amount that
-    falls with the root of their number; a threshold is distance + noise / root(n_words).
+    The class threshold is class_distance + class_noise / root(n_words).  The word threshold is
+    word_distance, or what the ``word_quantile`` of texts drawn from the reference reach plus
+    ``word_slack`` if that is more, but at most ``word_cap`` times the distance of a text
+    without any common word.
     """
 
     base_words: int = 50
@@ -63,8 +70,12 @@ class Limits:
     min_words: int = 50
     class_distance: float = 0.14
     class_noise: float = 0.9
-    word_distance: float = 0.34
-    word_noise: float = 2.8
+    words_per_bin: int = 6
+    max_bins: int = 200
+    word_distance: float = 0.36
+    word_quantile: float = 0.999
+    word_slack: float = 0.04
+    word_cap: float = 0.7
     common_share: float = 0.05
     min_language_docs: int = 30
 
@@ -159,6 +170,70 @@ def common_histogram(words: np.ndarray, hashes: np.ndarray) -> np.ndarray:
     return out
 
 
+DRAWS = 400
+
+
+@dataclass
+class WordBins:
+    """A reference's common words in ``bins`` groups of equal shares, and the threshold that goes with them."""
+
+    group: np.ndarray
+    shares: np.ndarray
+    threshold: float
+
+    def histogram(self, shares: np.ndarray) -> np.ndarray:
+        """``shares`` of the common words and of all others, by group."""
+        return np.append(np.bincount(self.group, shares[:-1], len(self.shares) - 1), shares[-1])
+
+
+def word_bins(reference: Reference, bins: int, limits: Limits) -> WordBins:
+    """Groups of words from the most frequent on; equal shares are ordered by hash."""
+    own = reference.words[:-1]
+    order = np.argsort(-own, kind="stable")
+    middle = np.cumsum(own[order]) - own[order] / 2
+    group = np.empty(len(own), np.int64)
+    total = max(float(own.sum()), 1e-12)
+    group[order] = np.minimum((middle / total * bins).astype(np.int64), bins - 1)
+    shares = np.append(np.bincount(group, own, bins), reference.words[-1])
+    # Texts of the fewest words that get so many bins.
+    n_words = max(limits.min_words, bins * limits.words_per_bin)
+    drawn = np.random.default_rng(bins).multinomial(n_words, shares / shares.sum(), DRAWS) / n_words
+    chance = float(np.quantile([distance(d, shares) for d in drawn], limits.word_quantile))
+    nothing = np.zeros(len(shares))
+    nothing[-1] = 1
+    most = limits.word_cap * distance(nothing, shares)
+    return WordBins(group, shares, min(most, max(limits.word_distance, chance + limits.word_slack)))
+
+
+class Judge:
+    """The rules with the references of all languages; bins are made when they are first needed."""
+
+    def __init__(self, known: dict[str, Reference], limits: Limits):
+        self.known, self.limits = known, limits
+        self._bins: dict[tuple[str, int], WordBins] = {}
+
+    def bins(self, lang: str, n_words: int) -> WordBins:
+        number = max(2, min(n_words // self.limits.words_per_bin, self.limits.max_bins))
+        if (lang, number) not in self._bins:
+            self._bins[lang, number] = word_bins(self.known[lang], number, self.limits)
+        return self._bins[lang, number]
+
+    def __call__(self, one: Measured, lang: str | None) -> tuple[bool, bool, float | None, float | None]:
+        """base_failed, kept and the two distances."""
+        limits = self.limits
+        failed = one.n_words < limits.base_words or 100 * one.n_repeat_words > limits.repeat_percent * one.n_words
+        if one.n_chars < limits.min_chars or one.n_words < limits.min_words or not self.known:
+            return failed, not failed, None, None
+        found = []
+        for name in [lang] if lang in self.known else sorted(self.known):
+            reference, bins = self.known[name], self.bins(name, one.n_words)
+            words = distance(bins.histogram(common_histogram(one.lowered, reference.hashes)), bins.shares)
+            found.append((words, distance(one.classes, reference.classes), bins.threshold))
+        words, classes, threshold = min(found)
+        alike = classes <= limits.class_distance + limits.class_noise / np.sqrt(one.n_words)
+        return failed, not failed and bool(alike and words <= threshold), classes, words
+
+
 def _signed(hashes: np.ndarray) -> np.ndarray:
     return hashes.view(np.int64)
 
@@ -267,21 +342,6 @@ def references(
     return found
 
 
-def judge(one: Measured, lang: str | None, known: dict[str, Reference], limits: Limits) -> tuple[bool, bool, float | None, float | None]:
-    """base_failed, kept and the two distances."""
-    failed = one.n_words < limits.base_words or 100 * one.n_repeat_words > limits.repeat_percent * one.n_words
-    if one.n_chars < limits.min_chars or one.n_words < limits.min_words or not known:
-        return failed, not failed, None, None
-    near = [known[lang]] if lang in known else known.values()
-    classes, words = min(
-        (distance(one.classes, r.classes), distance(common_histogram(one.lowered, r.hashes), r.words)) for r in near
-    )
-    chance = 1 / np.sqrt(one.n_words)
-    alike = classes <= limits.class_distance + limits.class_noise * chance
-    kept = not failed and bool(alike and words <= limits.word_distance + limits.word_noise * chance)
-    return failed, kept, classes, words
-
-
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 VERDICTS = T.StructType(
     [T.StructField(name, T.LongType()) for name in COUNTS]
@@ -297,12 +357,13 @@ def with_verdicts(docs: DataFrame, limits: Limits | None = None, lang: str = "la
     kinds = [*[pa.int64()] * 5, *[pa.bool_()] * 2, *[pa.float64()] * 2]
 
     def decide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        judge = Judge(known, limits)
         for batch in rows_of(batches):
             doc, results = batch.column(0), []
             for name, body in zip(doc.field(lang).to_pylist(), doc.field(text).to_pylist()):
                 one = measure(body)
                 counts = (getattr(one, name) for name in COUNTS)
-                results.append((*counts, *judge(one, name, known, limits)))
+                results.append((*counts, *judge(one, name)))
             columns = [pa.array(c, k) for c, k in zip(zip(*results), kinds)]
             verdict = pa.StructArray.from_arrays(columns, VERDICTS.names)
             yield pa.RecordBatch.from_arrays([doc, verdict], ["doc", "verdict"])
