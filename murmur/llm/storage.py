@@ -6,6 +6,7 @@ from pyarrow import fs
 from pyspark.sql import DataFrame
 
 from murmur.session import scratch_path
+from murmur.sinks import storage as files
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
@@ -16,7 +17,15 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = scratch_path(spark, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    table = spark.read.schema(df.schema).parquet(path)
+    table.stored_at = path
+    return table
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete what :func:`stored` wrote; nothing that is still to be computed may read it."""
+    for table in tables:
+        files.delete(table.sparkSession, table.stored_at)
 
 
 def filesystem(path: str) -> tuple[fs.FileSystem, str]:
