@@ -24,6 +24,7 @@ from __future__ import annotations
 from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from hashlib import sha256
 
 import numpy as np
 import pyarrow as pa
@@ -157,6 +158,14 @@ def distance(p: np.ndarray, q: np.ndarray) -> float:
     return float(np.sqrt(max(0.0, sum(parts) / 2)))
 
 
+def distances(rows: np.ndarray, q: np.ndarray) -> np.ndarray:
+    """As :func:`distance` for each row."""
+    middle = (rows + q) / 2
+    with np.errstate(divide="ignore", invalid="ignore"):
+        parts = [np.where(x > 0, x * np.log2(x / middle), 0.0).sum(axis=1) for x in (rows, np.broadcast_to(q, rows.shape))]
+    return np.sqrt(np.maximum(0.0, (parts[0] + parts[1]) / 2))
+
+
 def common_histogram(words: np.ndarray, hashes: np.ndarray) -> np.ndarray:
     """Shares of the common words (``hashes`` ascending) and of all others."""
     out = np.zeros(len(hashes) + 1)
@@ -198,19 +207,29 @@ def word_bins(reference: Reference, bins: int, limits: Limits) -> WordBins:
     # Texts of the fewest words that get so many bins.
     n_words = max(limits.min_words, bins * limits.words_per_bin)
     drawn = np.random.default_rng(bins).multinomial(n_words, shares / shares.sum(), DRAWS) / n_words
-    chance = float(np.quantile([distance(d, shares) for d in drawn], limits.word_quantile))
+    chance = float(np.quantile(distances(drawn, shares), limits.word_quantile))
     nothing = np.zeros(len(shares))
     nothing[-1] = 1
     most = limits.word_cap * distance(nothing, shares)
     return WordBins(group, shares, min(most, max(limits.word_distance, chance + limits.word_slack)))
 
 
+_BINS: dict = {}
+
+
 class Judge:
     """The rules with the references of all languages; bins are made when they are first needed."""
 
     def __init__(self, known: dict[str, Reference], limits: Limits):
         self.known, self.limits = known, limits
-        self._bins: dict[tuple[str, int], WordBins] = {}
+        # Shared by the tasks of a worker: made from the same references, bins are the same.
+        said = sha256(repr(limits).encode())
+        for lang in sorted(known):
+            said.update(lang.encode() + known[lang].hashes.tobytes() + known[lang].words.tobytes())
+        if _BINS.get("of") != said.digest():
+            _BINS.clear()
+            _BINS["of"] = said.digest()
+        self._bins = _BINS
 
     def bins(self, lang: str, n_words: int) -> WordBins:
         number = max(2, min(n_words // self.limits.words_per_bin, self.limits.max_bins))
