@@ -9,8 +9,9 @@ and where none can, the position is marked as a dead end and the token before it
 back.  Each position is given up at most once, so a piece takes linear time, and the result
 is the one the merges give.
 
-Defined results: a null or empty text has no tokens.  Ids outside the vocabulary cannot be
-decoded and raise an error.
+Defined results: a null or empty text has no tokens; repeated rows give equal rows, and an empty
+table an empty one.  Other columns pass in the struct ``doc``, so no name can clash.  What the split
+pattern does not match has no tokens.  Ids outside the vocabulary cannot be decoded and raise an error.
 """
 
 from __future__ import annotations
@@ -33,6 +34,8 @@ from murmur.llm.texts import rows_of
 
 #: Token pairs whose test is kept in memory by a task; beyond that the store is emptied.
 MEMO = 400_000
+#: Fixed value: the split pattern of byte-level BPE, whose matches never reach over the cuts of ``chunks``.
+CHUNK_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 _NO_LIMIT = 1 << 62
 
 
@@ -62,7 +65,11 @@ class ByteBpe:
             if halves:
                 self._merged[halves] = rank
         self._compatible: dict[tuple[int, int], bool] = {}
-        self._memory = ChunkMemory(lambda chunks: [self._encode_chunk(c) for c in chunks])
+        if pattern == CHUNK_PATTERN:
+            self._parts = ChunkMemory(lambda chunks: [self._encode_chunk(c) for c in chunks])
+        else:
+            # Another pattern may match over any cut, so its texts are split whole.
+            self._parts = lambda text: [self._encode_chunk(text)]
 
     @staticmethod
     def _longest_prefix(token: bytes, ranks: dict[bytes, int]) -> int | None:
@@ -111,8 +118,8 @@ class ByteBpe:
     def _encode_chunk(self, chunk: str) -> bytes:
         """Ids as a string of 32-bit numbers, the smallest form to remember."""
         ids = array("I")
-        for piece in self._pattern.findall(chunk):
-            ids.extend(self._backtrack(piece.encode("utf-8", "surrogatepass").decode("latin-1")))
+        for match in self._pattern.finditer(chunk):
+            ids.extend(self._backtrack(match[0].encode("utf-8", "surrogatepass").decode("latin-1")))
         return ids.tobytes()
 
     def _backtrack(self, data: str) -> list[int]:
@@ -147,7 +154,7 @@ class ByteBpe:
 
     def encode(self, text: str | None) -> list[int]:
         ids = array("I")
-        ids.frombytes(b"".join(self._memory(text or "")))
+        ids.frombytes(b"".join(self._parts(text or "")))
         return ids.tolist()
 
     def decode(self, ids) -> bytes:

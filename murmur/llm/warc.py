@@ -9,6 +9,8 @@ Defined results: a null payload is an empty one, a null URL has the key ``""``,
 null time sorts first.  Repeated rows are records of their own.  Of equal payloads the
 record(s) with the largest key are responses; records without a key never are, unless
 no record of that payload has one.  An empty table gives no archive and an empty index.
+Other columns are not read, whatever their names.  A payload of any length is one record,
+and is held whole by the task that writes or checks it.
 """
 
 from __future__ import annotations
@@ -89,29 +91,35 @@ def _seconds(date: str) -> int:
     return int((dt.datetime.strptime(date, "%Y-%m-%dT%H:%M:%SZ") - _EPOCH).total_seconds())
 
 
-def with_record_types(pages: DataFrame, key: str, payload: str, revisit_bytes: int) -> DataFrame:
-    """Pages with ``_type`` and ``_refers_to``, decided by equal payloads.
+def with_record_types(
+    pages: DataFrame, key: str, url: str, payload: str, captured_at: str | None, revisit_bytes: int
+) -> DataFrame:
+    """(key, url, time, payload, type, refers_to) per page, decided by equal payloads.
 
     Only digests are grouped.  Payloads met once need no class, so the class table is
     small; it is stored first, which lets the join split a payload with very many pages.
     """
+    time = F.col(captured_at).cast("bigint") if captured_at else F.lit(None).cast("bigint")
     body = F.coalesce(F.col(payload).cast("binary"), F.lit(b""))
-    pages = pages.withColumns({"_body": body, "_digest": F.unhex(F.sha1(body))})
+    rows = pages.select(F.col(key).alias("key"), F.col(url).alias("url"), time.alias("time"), body.alias("payload"))
+    rows = rows.withColumn("digest", F.unhex(F.sha1("payload")))
     classes = stored(
-        pages.where(F.octet_length("_body") >= revisit_bytes)
-        .groupBy(F.col("_digest").alias("_class"))
-        .agg(F.max(key).alias("_last"), F.count("*").alias("_copies"))
-        .where("_copies > 1 AND _last IS NOT NULL")
-        .select("_class", "_last"),
+        rows.where(F.octet_length("payload") >= revisit_bytes)
+        .groupBy("digest")
+        .agg(F.max("key").alias("last"), F.count("*").alias("copies"))
+        .where("copies > 1 AND last IS NOT NULL")
+        .select("digest", "last"),
         "warc-classes",
     )
-    joined = pages.join(classes, F.col("_digest") == F.col("_class"), "left")
-    revisits = F.col("_last").isNotNull() & ~F.col(key).eqNullSafe(F.col("_last"))
-    return joined.withColumns(
-        {
-            "_type": F.when(revisits, "revisit").otherwise("response"),
-            "_refers_to": F.when(revisits, F.col("_last").cast("string")),
-        }
+    joined = rows.join(classes, "digest", "left")
+    revisits = F.col("last").isNotNull() & ~F.col("key").eqNullSafe(F.col("last"))
+    return joined.select(
+        F.col("key").cast("string").alias("key"),
+        "url",
+        "time",
+        "payload",
+        F.when(revisits, "revisit").otherwise("response").alias("type"),
+        F.when(revisits, F.col("last").cast("string")).alias("refers_to"),
     )
 
 
@@ -128,35 +136,30 @@ def write_archives(
     """Write one record a page below ``folder``; return the list of files.
 
     ``captured_at`` names a column of seconds since 1970.  A file is closed after
-    ``file_bytes`` of payload.  File names hold the task attempt, so a repeated task
+    ``file_bytes`` of records, heads included, so pages without a payload close files, too.  File names hold the task attempt, so a repeated task
     writes files of its own; the list, stored by Spark, names those that count.
     """
-    time = F.col(captured_at).cast("bigint") if captured_at else F.lit(None).cast("bigint")
-    records = with_record_types(pages, key, payload, revisit_bytes).select(
-        F.col(key).cast("string").alias("key"),
-        F.col(url).alias("url"),
-        time.alias("time"),
-        F.col("_body").alias("payload"),
-        F.col("_type").alias("type"),
-        F.col("_refers_to").alias("refers_to"),
-    )
+    records = with_record_types(pages, key, url, payload, captured_at, revisit_bytes)
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         system, place = filesystem(folder)
         system.create_dir(place, recursive=True)
         task = TaskContext.get()
-        names, counts, sizes, out = [], [], [], None
+        names, counts, sizes, out, filled = [], [], [], None, 0
         for batch in batches:
             for row in range(batch.num_rows):
                 name, link, at, body, kind, refers = (batch.column(c)[row].as_py() for c in range(6))
-                if out is None or sizes[-1] >= file_bytes:
+                if out is None or filled >= file_bytes:
                     if out is not None:
                         out.close()
+                    filled = 0
                     names.append(f"captures-{task.partitionId():06d}-{task.taskAttemptId()}-{len(names):04d}.warc.gz")
                     counts.append(0)
                     sizes.append(0)
                     out = system.open_output_stream(f"{place}/{names[-1]}", compression=None)
-                out.write(gzip.compress(record_bytes(name or "", link, at, body, kind, refers), 4, mtime=0))
+                record = record_bytes(name or "", link, at, body, kind, refers)
+                out.write(gzip.compress(record, 4, mtime=0))
+                filled += len(record)
                 counts[-1] += 1
                 sizes[-1] += len(body)
         if out is not None:
@@ -226,6 +229,7 @@ def read_runs(files: DataFrame, folder: str) -> DataFrame:
                 with system.open_input_stream(f"{place}/{file}", compression=None) as stream:
                     for offset, length, data in members(stream):
                         record = parse_record(data)
+                        del record["payload"]  # checked, and too large to hold for a whole run
                         run.append(record | {"file": file, "offset": offset, "length": length})
                 run.sort(key=lambda r: _order(r["url_key"], r["captured_at"], r["file"], r["offset"]))
                 yield pa.RecordBatch.from_arrays([pa.array([r[n] for r in run], k) for n, k in zip(names, kinds)], names)
