@@ -19,24 +19,24 @@ _CLEAN = (
     "author_type", "author_weight", "influence_score",
 )
 
-_CLEAN_SQL = """tweet_id, user_id, created_at, username, content, hashtags, cashtags, like_count,
+CLEAN_SQL = """tweet_id, user_id, created_at, username, content, hashtags, cashtags, like_count,
        retweet_count, reply_count, lang, engagement_score,
        CASE WHEN weight >= 5 THEN 'whale' ELSE 'market' END AS author_type,
        cast(weight AS DOUBLE) AS author_weight,
        cast(weight * engagement_score AS DOUBLE) AS influence_score"""
 
 
-def _flat(posts):
+def flat(posts):
     joined = posts.withColumns(
         {"hashtags": F.array_join("hashtags", ","), "cashtags": F.array_join("cashtags", ",")}
     )
     return A.naive(joined.select(*_CLEAN), "created_at")
 
 
-@query(A.posts_sql(unique_ids=True, json=True) + f" SELECT {_CLEAN_SQL} FROM valid")
+@query(A.posts_sql(unique_ids=True, json=True) + f" SELECT {CLEAN_SQL} FROM valid")
 def clean_posts(spark, sf_dir):
     parsed = P.parse_posts(A.messages(spark, sf_dir, unique_ids=True))
-    return _flat(P.valid_posts(P.normalize_posts(parsed)))
+    return flat(P.valid_posts(P.normalize_posts(parsed)))
 
 
 @query(
@@ -162,12 +162,12 @@ def _directory(spark, sf_dir):
     + f""", hourly AS (SELECT * REPLACE (date_trunc('hour', created_at) AS created_at) FROM valid),
       kept AS (SELECT * FROM hourly QUALIFY row_number() OVER
                (PARTITION BY tweet_id ORDER BY created_at DESC, event_id) = 1)
-      SELECT {_CLEAN_SQL} FROM kept"""
+      SELECT {CLEAN_SQL} FROM kept"""
 )
 def dedupe_latest(spark, sf_dir):
     """Latest per id at hour resolution, so that most ids have ties."""
     posts = A.clean_posts(spark, sf_dir).withColumn("created_at", F.date_trunc("hour", "created_at"))
-    return _flat(dedupe.by_time(dedupe.dedupe_latest(posts)))
+    return flat(dedupe.by_time(dedupe.dedupe_latest(posts)))
 
 
 @query(

@@ -13,7 +13,7 @@ from murmur.plans.registry import query
 _MEAN = "cast(sum(cast(sentiment AS DECIMAL(18, 9))) AS DOUBLE) / count(sentiment)"
 _TOTALS = f"""totals AS (SELECT hashtag, cast(sum(count) AS BIGINT) AS total_count, {_MEAN} AS avg_sentiment
             FROM hours GROUP BY hashtag)"""
-_RANKED = f"""{A.HOURS_SQL}, {_TOTALS}, ranked AS (
+RANKED_SQL = f"""{A.HOURS_SQL}, {_TOTALS}, ranked AS (
   SELECT *, row_number() OVER (ORDER BY total_count DESC, hashtag) AS rank FROM totals)"""
 
 
@@ -41,7 +41,7 @@ def tag_totals(spark, sf_dir):
 
 
 @query(
-    f"""{_RANKED} SELECT *, CASE WHEN avg_sentiment >= 0.1 THEN 'positive'
+    f"""{RANKED_SQL} SELECT *, CASE WHEN avg_sentiment >= 0.1 THEN 'positive'
            WHEN avg_sentiment < -0.1 THEN 'negative' ELSE 'neutral' END AS sentiment_class,
            CASE WHEN avg_sentiment >= 0 THEN 'Positive' ELSE 'Negative' END AS sentiment_sign,
            cast(floor((avg_sentiment + 1) / 2 * 100) AS BIGINT) AS bar_percent FROM ranked"""
@@ -51,7 +51,7 @@ def hashtag_table(spark, sf_dir):
 
 
 @query(
-    f"""{_RANKED} SELECT * FROM ranked WHERE contains(lower(hashtag), 'click1')
+    f"""{RANKED_SQL} SELECT * FROM ranked WHERE contains(lower(hashtag), 'click1')
         ORDER BY rank LIMIT 5 OFFSET 5"""
 )
 def hashtag_page(spark, sf_dir):
@@ -61,7 +61,7 @@ def hashtag_page(spark, sf_dir):
 
 
 @query(
-    f"""{_RANKED} SELECT greatest(1, cast(ceil(count(*) / 10.0) AS BIGINT)) AS pages FROM ranked
+    f"""{RANKED_SQL} SELECT greatest(1, cast(ceil(count(*) / 10.0) AS BIGINT)) AS pages FROM ranked
         WHERE regexp_matches(lower(hashtag), '(click|view)1\\d')"""
 )
 def page_count(spark, sf_dir):
