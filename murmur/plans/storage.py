@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from datetime import date
+
 from pyspark.sql import functions as F
 
 from murmur.functions.text import normalize_coin
@@ -14,7 +16,7 @@ from murmur.plans.sentiment import METRICS_SQL as SENTIMENT_SQL
 from murmur.schemas import COLLECTOR_RECORD
 from murmur.session import scratch_path
 from murmur.sinks import documents as D
-from murmur.sinks import files
+from murmur.sinks import compaction, files
 from murmur.sources.files import read_documents, read_partitioned_posts, read_posts
 
 
@@ -42,6 +44,26 @@ def raw_partitioned_roundtrip(spark, sf_dir):
     )
 
 
+@query(
+    """SELECT upper(source) AS coin, to_timestamp(1704067200 + doc_id)::TIMESTAMP::DATE AS date,
+              cast(hour(to_timestamp(1704067200 + doc_id)::TIMESTAMP) AS INTEGER) AS hour,
+              cast(2 * count(*) AS BIGINT) AS posts, cast(0 AS BIGINT) AS crowded
+       FROM documents GROUP BY ALL"""
+)
+def compacted_posts(spark, sf_dir):
+    """Posts appended twice, their small files joined; ``crowded`` counts folders that are left to join."""
+    root = scratch_path(spark, "compacted_posts")
+    posts = A.document_posts(spark, sf_dir).select("doc_id", "text", "created_at", "target_coin")
+    for _ in range(2):
+        files.store_raw_posts(posts, root, F.col("target_coin"), F.col("created_at"))
+    after = date(2024, 12, 31)
+    compaction.compact(spark, root, after)
+    left = compaction.crowded_folders(spark, root, after).count()
+    stored = read_partitioned_posts(spark, root, COLLECTOR_RECORD)
+    counts = stored.groupBy("coin", "date", "hour").agg(F.count("*").alias("posts"))
+    return counts.withColumn("crowded", F.lit(left).cast("bigint"))
+
+
 @query(
     r"""SELECT date, hour, count(*) AS posts FROM (
          SELECT (to_timestamp(1704067200 + doc_id)::TIMESTAMP)::DATE AS date,
