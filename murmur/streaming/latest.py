@@ -11,6 +11,7 @@ from collections.abc import Iterator
 from datetime import timedelta
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
@@ -18,10 +19,14 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from murmur.operators.dedupe import dedupe_latest
 from murmur.settings import interval
 
-_STATE = "time_us bigint, arrival bigint, body string"
+_STATE = "held binary"
 _CHANGE = "change int, body string"
 _JSON = {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX"}
 _BEFORE_ALL = -(1 << 63)
+_COLUMNS = ["id", "time_us", "arrival", "body"]
+_TABLE = pa.schema([("id", pa.string()), ("time_us", pa.int64()), ("arrival", pa.int64()), ("body", pa.string())])
+#: Ids are dealt to so many buckets; a bucket's latest posts are one row of state.
+BUCKETS = 2_048
 
 
 def _newest(rows: pd.DataFrame) -> pd.DataFrame:
@@ -30,18 +35,36 @@ def _newest(rows: pd.DataFrame) -> pd.DataFrame:
     return ordered.drop_duplicates("id")
 
 
+def _packed(rows: pd.DataFrame) -> bytes:
+    """Rows as a compressed Arrow file."""
+    out = pa.BufferOutputStream()
+    table = pa.Table.from_pandas(rows[_COLUMNS], _TABLE, preserve_index=False)
+    with pa.ipc.new_file(out, _TABLE, options=pa.ipc.IpcWriteOptions(compression="zstd")) as writer:
+        writer.write_table(table)
+    return out.getvalue().to_pybytes()
+
+
+def _unpacked(held: bytes) -> pd.DataFrame:
+    return pa.ipc.open_file(held).read_all().to_pandas()
+
+
 def latest_changes(
     posts: DataFrame,
     key: str = "tweet_id",
     time: str = "created_at",
     arrival: str = "arrival",
     horizon: timedelta | None = None,
+    buckets: int = BUCKETS,
 ) -> DataFrame:
     """The posts' columns and ``change``: +1 for a row that is the latest of its id from now on, -1 for one that was.
 
     The order is that of ``dedupe_latest``: the newest time, then the first arrival (a whole number), so
-    the outcome does not depend on how the posts fall into batches.  State is one row per id.  With a
-    ``horizon``, posts behind the watermark of the batch before are dropped, and an id is forgotten once
+    the outcome does not depend on how the posts fall into batches.
+
+    State is the latest post of every id, compressed, in one row for each of the ``buckets`` that ids are
+    dealt to by hash: a batch calls the merge once a bucket, not once an id.  A batch rewrites the
+    rows of the buckets it touches, so a bucket should hold no more than some ten thousand ids; the number
+    is part of a query's checkpoint.  With a ``horizon``, posts behind the watermark of the batch before are dropped, and an id is forgotten once
     the watermark has passed its post: a later post of it is added, with none taken back.  Without, ids
     are kept for good.  Before the shuffle every Arrow batch is
     cut down to one row per id, so an id that holds a third of the posts does not meet in one task.
@@ -58,21 +81,31 @@ def latest_changes(
             yield _newest(part)
 
     def follow(group: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        held = state.get if state.exists else None
-        best = held
-        for part in parts:
-            for at, order, text in zip(part["time_us"].tolist(), part["arrival"].tolist(), part["body"].tolist()):
-                if best is None or (-at, order) < (-best[0], best[1]):
-                    best = (at, order, text)
-        if best is not held:
-            state.update(best)
-            out = ([(-1, held[2])] if held else []) + [(1, best[2])]
-            yield pd.DataFrame(out, columns=["change", "body"])
+        # None of a timed-out state's parts has rows.
+        came = pd.concat([part[_COLUMNS] for part in parts if len(part)] or [pd.DataFrame(columns=_COLUMNS)])
+        held = _unpacked(state.get[0]) if state.exists else None
+        before = 0 if held is None else len(held)
+        # Of equal rows the one that is held stays, as it is the first.
+        rows = came if held is None else held if came.empty else pd.concat([held, came])
+        rows = rows.assign(new=[False] * before + [True] * (len(rows) - before))
+        best = _newest(rows)
+        added = best[best["new"]]
+        left = best
         if keep:
-            state.setTimeoutTimestamp(max(best[0] // 1000, state.getCurrentWatermarkMs()) + 1)
+            now = state.getCurrentWatermarkMs()
+            lapsed = (best["time_us"] // 1000 + 1 < now) & ~best["id"].isin(came["id"])
+            left = best[~lapsed]
+        if left.empty:
+            state.remove()
+        else:
+            if len(added) or len(left) != before:
+                state.update((_packed(left),))
+            if keep:
+                state.setTimeoutTimestamp(max(int(left["time_us"].min()) // 1000, now) + 1)
+        if len(added):
+            gone = held[held["id"].isin(added["id"])] if before else added[:0]
+            out = pd.DataFrame({"change": [-1] * len(gone) + [1] * len(added), "body": [*gone["body"], *added["body"]]})
+            yield out.astype({"change": "int32"})
 
     rows = posts.select(F.col(time).alias("at"), *columns)
     schema = "at timestamp, id string, time_us bigint, arrival bigint, body string"
@@ -80,7 +113,8 @@ def latest_changes(
     if keep:
         # After the cut, which would lose the watermark.
         rows = rows.withWatermark("at", interval(horizon))
-    changes = rows.groupBy("id").applyInPandasWithState(follow, _CHANGE, _STATE, "append", timeout)
+    dealt = rows.withColumn("bucket", F.pmod(F.xxhash64("id"), F.lit(buckets)))
+    changes = dealt.groupBy("bucket").applyInPandasWithState(follow, _CHANGE, _STATE, "append", timeout)
     parsed = changes.select("change", F.from_json("body", fields, _JSON).alias("post"))
     return parsed.select("post.*", "change")
 

@@ -85,3 +85,21 @@ def test_pages_are_read_without_ranking(spark, tmp_path):
     indexed.write_pages(rows.where("false"), str(tmp_path / "none"), order)
     assert indexed.read_page(spark, str(tmp_path / "none"), 1).count() == 0
     assert indexed.page_count(spark, str(tmp_path / "none"), 10).first()["pages"] == 1
+
+
+def test_state_is_a_row_per_bucket_not_per_id(spark, tmp_path):
+    batches = [[post(f"i{n}", n % 60, 1000 * turn + n, n + turn) for n in range(turn * 100, 600)] for turn in range(3)]
+    for rows in batches:
+        spark.createDataFrame(rows, SCHEMA).coalesce(1).write.mode("append").parquet(str(tmp_path / "posts"))
+    posts = spark.readStream.schema(SCHEMA).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "posts"))
+    query = runner.start_append(
+        latest_changes(posts, buckets=5), str(tmp_path / "changes"), str(tmp_path / "state"), "buckets",
+        mode="append", trigger={"availableNow": True},
+    )
+    runner.run_available(query)
+    # The merge is called once a bucket and batch, however many ids there are.
+    assert max(p["stateOperators"][0]["numRowsTotal"] for p in query.recentProgress) == 5
+    changes = spark.read.parquet(str(tmp_path / "changes")).drop("batch_id")
+    want = dedupe_latest(spark.createDataFrame([r for b in batches for r in b], SCHEMA))
+    assert sorted(map(repr, latest_posts(changes).collect())) == sorted(map(repr, want.collect()))
+    assert changes.agg(F.sum("change")).first()[0] == 600
