@@ -1,8 +1,9 @@
 """Joining the many small JSON files that appends leave in ``coin=/date=/hour=`` folders.
 
-The lines of crowded folders are first copied to ``root/_compaction/ID``, which readers of ``root`` do not
-see, and only when that copy is whole are the folders replaced from it.  A run that breaks off in between
-loses nothing: the next one finds the copy and replaces the folders again, with the same rows.  While a
+The lines of crowded folders are first written, joined, below ``root/_compaction/ID``, which readers of
+``root`` do not see, and only when all are there do the new folders take the places of the old, by a rename.
+A run that breaks off in between loses nothing: a folder that is still below the copy has not taken its
+place, and the next run goes on with those.  While a
 folder is replaced a reader may miss it, and lines appended to it meanwhile would be lost, so only
 folders of days before ``before``, which no writer adds to, are taken.
 """
@@ -65,23 +66,26 @@ def compact(spark: SparkSession, root: str, before: date, file_bytes: int = FILE
     )
     # Rows tell their file as an encoded address, in which a plus stands for itself.
     path = F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B")))
-    placed = lines.withColumn("folder", _folder(path)).join(parts, "folder")
+    # The folders were listed on the driver, so they are few enough to go to every task; the lines do not travel for it.
+    placed = lines.withColumn("folder", _folder(path)).join(F.broadcast(parts), "folder")
     dealt = placed.withColumn("part", F.pmod(F.monotonically_increasing_id(), F.col("wanted")))
-    dealt.select("value", *RAW_LAYOUT, "part").write.parquet(staged)
+    # A file's rows meet in one task.
+    (
+        dealt.repartition(*RAW_LAYOUT, "part")
+        .select("value", *RAW_LAYOUT)
+        .write.partitionBy(*RAW_LAYOUT)
+        .option("compression", "none")
+        .text(staged)
+    )
     _replace(spark, root, staged)
     storage.delete(spark, staged)
     return len(folders)
 
 
 def _replace(spark: SparkSession, root: str, staged: str) -> None:
-    """Replace the folders that occur in the whole copy; a file's rows meet in one task."""
-    rows = spark.read.parquet(staged)
-    (
-        rows.repartition(*RAW_LAYOUT, "part")
-        .select("value", *RAW_LAYOUT)
-        .write.mode("overwrite")
-        .option("partitionOverwriteMode", "dynamic")
-        .partitionBy(*RAW_LAYOUT)
-        .option("compression", "none")
-        .text(root)
-    )
+    """Move the folders that are left below the whole copy to their places."""
+    inner = [""]
+    for _ in RAW_LAYOUT:
+        inner = [f"{f}/{n}" for f in inner for n in storage.children(spark, f"{staged}{f}") if "=" in n]
+    for folder in inner:
+        storage.replace(spark, f"{staged}{folder}", f"{root}{folder}")

@@ -62,3 +62,26 @@ def test_a_broken_run_is_finished_by_the_next(spark, tmp_path, monkeypatch):
     compaction.compact(spark, root, TODAY)
     assert rows_of(spark, root) == want
     assert all(n == 1 for day, n in per_folder(spark, root).values() if day < TODAY)
+
+
+def test_joined_folders_are_moved_not_written_again(spark, tmp_path, monkeypatch):
+    root = str(tmp_path / "raw")
+    store(spark, root, 2)
+    want, move, moved = rows_of(spark, root), storage.replace, []
+
+    def breaks(spark, source, target):
+        if len(moved) == 3:
+            raise OSError("lost")
+        move(spark, source, target)
+        moved.append((target, storage.children(spark, target)))
+
+    monkeypatch.setattr(storage, "replace", breaks)
+    try:
+        compaction.compact(spark, root, TODAY)
+    except OSError:
+        pass
+    monkeypatch.setattr(storage, "replace", move)
+    compaction.compact(spark, root, TODAY)
+    assert rows_of(spark, root) == want and len(moved) == 3
+    assert all(storage.children(spark, folder) == names for folder, names in moved)
+    assert storage.children(spark, f"{root}/_compaction") == []
