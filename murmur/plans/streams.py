@@ -13,11 +13,13 @@ from murmur.plans import adapters as A
 from murmur.plans import trends as T
 from murmur.plans.registry import query
 from murmur.session import scratch_path
+from murmur.sinks import storage
 from murmur.sinks.upsert import TrendTable
 from murmur.sources.files import stream_lines
 from murmur.streaming import pipeline, runner
 
 HOUR, FILES = timedelta(hours=1), 4
+FILE_ROWS = 100_000
 NOW = {"availableNow": True}
 
 _CLOSED = "(SELECT max(created_at) - INTERVAL 10 MINUTE FROM valid)"
@@ -33,16 +35,20 @@ def _messages(spark, sf_dir, late=False):
 
 
 def message_lines(spark, sf_dir, late=False):
-    """Messages in ``FILES`` files, each later in time than the one before, a file per batch.
+    """Messages in ``FILES`` parts, each later in time than the one before, a part per batch.
 
+    A part is as many files as any other, about ``FILE_ROWS`` messages each in the largest.
     A sixth of the first dialect's posts is sent twice; all of these are valid.  ``late``: with the
-    last file, some posts of the first day come in under new ids.
+    last part, some posts of the first day come in under new ids.
     """
     folder = scratch_path(spark, "stream_messages")
     posts = A.raw_posts(spark, sf_dir, unique_ids=True)
     first, last = posts.agg(F.min("observed_at"), F.max("observed_at")).first()
     span = (last - first) / FILES
     ends = [first + span * i for i in range(1, FILES)]
+    place = sum((F.col("observed_at") >= F.lit(end)).cast("int") for end in ends)
+    most = max((r["count"] for r in posts.groupBy(place.alias("part")).count().collect()), default=0)
+    files = max(1, -(-most // FILE_ROWS))
     for low, high in zip([None, *ends], [*ends, None]):
         part = posts if low is None else posts.where(F.col("observed_at") >= F.lit(low))
         part = part if high is None else part.where(F.col("observed_at") < F.lit(high))
@@ -52,8 +58,26 @@ def message_lines(spark, sf_dir, late=False):
             early = posts.where((F.col("observed_at") < F.lit(first + timedelta(days=1))) & (F.col("k") % 11 == 3))
             renamed = {c: F.concat(F.lit("late-"), c) for c in ("tweet_id", "id")}
             sent = sent.union(early.where("k < 96").withColumns(renamed))
-        A.messages_of(sent).select("value").coalesce(1).write.mode("append").text(folder)
-    return stream_lines(spark, folder)
+        write_part(A.messages_of(sent), folder, files)
+    return stream_lines(spark, folder, files_per_trigger=files)
+
+
+def write_part(messages, folder, files):
+    """Add exactly so many files with the messages to a folder, by as many tasks.
+
+    A reader that takes that many files at a time then has one part in a batch, never some of the next.
+    """
+    spark = messages.sparkSession
+
+    def parts():
+        return sum(name.startswith("part-") for name in storage.children(spark, folder))
+
+    before = parts()
+    dealt = messages.coalesce(1) if files == 1 else messages.repartition(files, "arrival")
+    dealt.select("value").write.mode("append").text(folder)
+    # A task without messages leaves no file.
+    for _ in range(before + files - parts()):
+        messages.select("value").limit(0).coalesce(1).write.mode("append").text(folder)
 
 
 def _appended(df, spark, name, mode):

@@ -136,25 +136,27 @@ class OnePass:
     def _incoming(self, batch: DataFrame, batch_id: int, floor: int | None) -> DataFrame:
         """The batch with an outcome for every post.
 
-        A post's first arrival is kept.  Repeats in the batch are found by a row number, which leaves
-        one row of an id per task before the shuffle; earlier batches by their remembered ids.
+        A post's first arrival is kept.  Repeats in the batch are found by a row number, those of earlier
+        batches by their remembered ids.  Rejected and late posts go through as keys of their own, so
+        that the batch is read and parsed once.
         """
         spark = batch.sparkSession
         late = F.when(F.unix_micros("created_at") <= F.lit(floor).cast("bigint"), "late")
         rows = batch.select(*POST, F.coalesce("invalid_reason", late).alias("outcome"))
         # Where a post stands in the batch tells the order of arrival.
         rows = rows.withColumn("_at", F.monotonically_increasing_id())
-        first = Window.partitionBy("tweet_id").orderBy("_at")
-        valid = rows.where(F.col("outcome").isNull())
-        numbered = valid.withColumn("_n", F.row_number().over(first))
+        alone = F.concat(F.lit("-"), F.col("_at").cast("string"))
+        keyed = rows.withColumn("_key", F.when(F.col("outcome").isNull(), F.concat(F.lit("+"), "tweet_id")).otherwise(alone))
+        numbered = keyed.withColumn("_n", F.row_number().over(Window.partitionBy("_key").orderBy("_at")))
         seen = self._seen(spark, batch_id, floor)
         if seen is not None:
-            numbered = numbered.join(seen.withColumn("_seen", F.lit(True)), "tweet_id", "left")
+            known = seen.select(F.concat(F.lit("+"), "tweet_id").alias("_key"), F.lit(True).alias("_seen"))
+            numbered = numbered.join(known, "_key", "left")
         else:
             numbered = numbered.withColumn("_seen", F.lit(None).cast("boolean"))
         repeated = (F.col("_n") > 1) | F.coalesce("_seen", F.lit(False))
-        judged = numbered.withColumn("outcome", F.when(repeated, "repeated").otherwise("kept")).drop("_n", "_seen")
-        return judged.unionByName(rows.where(F.col("outcome").isNotNull())).drop("_at")
+        judged = F.coalesce("outcome", F.when(repeated, "repeated").otherwise("kept"))
+        return numbered.select(*POST, judged.alias("outcome"))
 
     def _seen(self, spark: SparkSession, batch_id: int, floor: int | None) -> DataFrame | None:
         """Ids whose repeats are still recognised: kept no longer than the delay behind the watermark."""
