@@ -126,8 +126,17 @@ def _idioms(valence: Column) -> Column:
     return F.when(dampened, value - BOOST).otherwise(value)
 
 
+def _share(place: Column) -> Column:
+    """What an occurrence counts: half before a "but", one and a half times after it."""
+    but = F.col("but")
+    return F.when(but.isNull() | (place == but), 1.0).when(place < but, 0.5).otherwise(1.5)
+
+
 def _context(posts: DataFrame, keys: list[str], text_col: str) -> DataFrame:
-    """One row per word with its neighbours, and one without a word per post; no shuffle."""
+    """One row per different word of a post, and one without a word per post; no shuffle.
+
+    A row has the neighbours of the word's first occurrence, and the shares of all as ``weight``.
+    """
     text = F.col(text_col)
     listed = posts.select(
         *keys,
@@ -141,20 +150,30 @@ def _context(posts: DataFrame, keys: list[str], text_col: str) -> DataFrame:
         {
             "mixed_case": (loud > 0) & (loud < F.size("w")),
             "but": F.array_min(F.filter(buts, lambda p: p > 0)),
+            "s": F.sort_array(F.transform("w", lambda word, i: F.struct(word.alias("word"), i.alias("i")))),
         }
     )
     at = lambda i: F.get(F.col("w"), i)
+    # Equal words stand together, in order; these are the places where another word begins.
+    begins = lambda x, j: F.when((j == 0) | (x["word"] != F.get(F.col("s"), j - 1)["word"]), j)
+    facts = facts.withColumn("starts", F.filter(F.transform("s", begins), lambda j: j.isNotNull()))
 
-    def entry(word: Column, i: Column) -> Column:
+    def entry(word: Column, i: Column, weight: Column) -> Column:
         return F.struct(
-            word.alias("word"), i.alias("i"),
+            word.alias("word"), weight.alias("weight"),
             at(i - 1).alias("p1"), at(i - 2).alias("p2"), at(i - 3).alias("p3"),
             at(i + 1).alias("n1"), at(i + 2).alias("n2"),
         )
 
-    blank = entry(F.lit(None).cast("string"), F.lit(-9))
-    entries = F.concat(F.transform("w", entry), F.array(blank))
-    common = [*keys, "has_text", "emphasis", "mixed_case", "but"]
+    def run(start: Column, r: Column) -> Column:
+        first = F.get(F.col("s"), start)
+        end = F.coalesce(F.get(F.col("starts"), r + 1), F.size("s"))
+        equal = F.slice(F.col("s"), start + 1, end - start)
+        return entry(first["word"], first["i"], F.aggregate(equal, F.lit(0.0), lambda sum_, x: sum_ + _share(x["i"] + 1)))
+
+    blank = entry(F.lit(None).cast("string"), F.lit(-9), F.lit(1.0))
+    entries = F.concat(F.transform("starts", run), F.array(blank))
+    common = [*keys, "has_text", "emphasis", "mixed_case"]
     return facts.select(*common, F.explode(entries).alias("c")).select(*common, "c.*")
 
 
@@ -208,27 +227,13 @@ def rule_scores(
 ) -> DataFrame:
     """Compound score per post with all context rules: ``keys`` + ``sentiment_score``.
 
-    Rated words are found by a map-side join before anything is shuffled; a row
-    without a word keeps each post and its punctuation, so the text is read once.
-    Equal words of a post share the context of their first occurrence, as in the
-    published program; each occurrence counts half before a "but" and one and a
-    half times after it.
+    Rated words are found by a map-side join and summed where the post was split, so
+    one short row per post and task is shuffled; a row without a word keeps each post and
+    its punctuation, so the text is read once.  Equal words of a post share the context
+    of their first occurrence, as in the published program; each occurrence counts half
+    before a "but" and one and a half times after it.
     """
-    found = _rated(_context(posts, keys, text_col), lexicon)
-    place = F.col("i") + 1
-    share = (
-        F.when(F.col("but").isNull() | (place == F.col("but")), 1.0)
-        .when(place < F.col("but"), 0.5)
-        .otherwise(1.5)
-    )
-    facts = [
-        "has_text", "emphasis", "mixed_case", "valence", "p1", "p2", "p3", "n1", "n2",
-        "k1", "k2", "k3",
-    ]
-    distinct = found.groupBy(*keys, "word").agg(
-        F.min(F.struct("i", *facts)).alias("f"), F.sum(share).alias("weight")
-    )
-    judged = _valence(distinct.select(*keys, "word", "weight", "f.*"))
+    judged = _valence(_rated(_context(posts, keys, text_col), lexicon))
     sums = judged.groupBy(*keys).agg(
         F.coalesce(F.sum(F.col("v") * F.col("weight")), F.lit(0.0)).alias("sum"),
         F.max("emphasis").alias("emphasis"),

@@ -128,3 +128,19 @@ def test_rules_read_the_text_once(spark, rated_words, tmp_path):
     spark.createDataFrame([("a", "good")], "id string, text string").write.parquet(str(tmp_path / "p"))
     plan = R.rule_scores(spark.read.parquet(str(tmp_path / "p")), rated_words, ["id"])
     assert plan._jdf.queryExecution().executedPlan().toString().count("FileScan parquet") == 1
+
+
+def test_rules_shuffle_sums_of_posts_not_words(spark, rated_words):
+    posts = spark.createDataFrame([("a", "good")], "id string, text string")
+    plan = R.rule_scores(posts, rated_words, ["id"])._jdf.queryExecution().sparkPlan().toString()
+    executed = R.rule_scores(posts, rated_words, ["id"])._jdf.queryExecution().executedPlan().toString()
+    assert "min(struct(" not in plan
+    moved = [line for line in executed.split("\n") if "Exchange hashpartitioning(id" in line]
+    assert len(moved) == 1 and "word" not in moved[0]
+
+
+def test_equal_words_share_the_first_context(spark, rated_words):
+    texts = ["good one good but good", "very good and good", "", "good", "not good but really good good"]
+    got = rule_score(spark, rated_words, texts)
+    boosted = 1.9 + 0.293
+    assert got == [score(1.9 * 2.5), score(boosted * 2), 0.0, score(1.9), score(1.9 * -0.74 * 3.5)]
