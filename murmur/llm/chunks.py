@@ -42,19 +42,23 @@ class ChunkMemory:
     """Encodes texts as lists of their chunks' values.
 
     Chunks that white space ties to a neighbour have no value of their own (None); such a run of
-    chunks is encoded, and remembered, as one.
+    chunks is encoded, and remembered, as one.  ``encode_apart`` is used for chunks without white space at
+    an end, which give the same values if those with a leading space are put together again.
     """
 
-    def __init__(self, encode_all: Callable[[list[str]], list]):
+    def __init__(self, encode_all: Callable[[list[str]], list], encode_apart: Callable[[list[str]], list] | None = None):
         self._encode_all = encode_all
+        self._encode_apart = encode_apart or encode_all
         self._young: dict[str, object] = {}
         self._old: dict[str, object] = {}
         self._chars = 0
         self._runs: dict[str, object] = {}
         self._run_chars = 0
 
-    def _learn(self, missing: set[str]) -> None:
-        if len(self._young) >= GENERATION or self._chars >= GENERATION_CHARS:
+    def _learn(self, missing: set[str]) -> bool:
+        """Whether a new generation has begun, which knows the missing chunks only."""
+        begun = len(self._young) >= GENERATION or self._chars >= GENERATION_CHARS
+        if begun:
             self._old, self._young, self._chars = self._young, {}, 0
         young, old = self._young, self._old
         again = [chunk for chunk in missing if chunk in old]
@@ -64,7 +68,8 @@ class ChunkMemory:
         young.update(dict.fromkeys(new))
         told = [chunk for chunk in new if not _joins(chunk)]
         if told:
-            young.update(zip(told, self._encode_all(told)))
+            young.update(zip(told, self._encode_apart(told)))
+        return begun
 
     def _tied(self, chunks: list[str], values: list) -> list:
         """The values with one for each run of tied chunks."""
@@ -105,9 +110,7 @@ class ChunkMemory:
         try:
             values = list(map(self._young.__getitem__, chunks))
         except KeyError:
-            self._learn(set(chunks).difference(self._young))
-            # A new generation may have begun, which knows the missing chunks only.
-            if missing := set(chunks).difference(self._young):
+            if self._learn(set(chunks).difference(self._young)) and (missing := set(chunks).difference(self._young)):
                 self._learn(missing)
             values = list(map(self._young.__getitem__, chunks))
         return self._tied(chunks, values) if None in values else values

@@ -156,7 +156,8 @@ def encoder(path: str, width: int = 4) -> Callable[[str], list]:
     """Texts to lists of strings of ids of ``width`` bytes, by the tokenizers library.
 
     The library encodes chunks, which are remembered, or the whole text if its tokenizer
-    may join what lies on both sides of a cut.
+    may join what lies on both sides of a cut.  A text's unknown chunks go to it as one text, and the
+    ids are dealt to them by their tokens' bytes.
     """
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
@@ -169,7 +170,33 @@ def encoder(path: str, width: int = 4) -> Callable[[str], list]:
     def encode(chunks: list[str]) -> list[bytes]:
         return [array.array(kind, e.ids).tobytes() for e in tokenizer.encode_batch_fast(chunks, add_special_tokens=False)]
 
-    return ChunkMemory(encode) if cuts_are_safe(json.loads(tokenizer.to_str())) else lambda text: encode([text])
+    # A byte-level token has a character for each byte, an added one is as it is.
+    lengths = {i: len(token) for token, i in tokenizer.get_vocab(with_added_tokens=False).items()}
+    lengths |= {i: len(token.content.encode()) for i, token in tokenizer.get_added_tokens_decoder().items()}
+    sizes = np.zeros(max(lengths, default=0) + 1, np.int64)
+    sizes[list(lengths)] = list(lengths.values())
+
+    def encode_apart(chunks: list[str]) -> list[bytes]:
+        led = [chunk for chunk in chunks if chunk[:1] == " "]
+        if not led:
+            return encode(chunks)
+        ids = np.array(tokenizer.encode_batch_fast(["".join(led)], add_special_tokens=False)[0].ids, f"<u{width}")
+        ends = np.cumsum(sizes[ids])
+        wanted = np.cumsum([len(chunk.encode()) for chunk in led])
+        after = np.searchsorted(ends, wanted) + 1
+        # Bytes that the vocabulary lacks have no ids.
+        if after[-1] != len(ids) or not np.array_equal(ends[after - 1], wanted):
+            return encode(chunks)
+        data, cuts = ids.tobytes(), (after * width).tolist()
+        out = [data[a:b] for a, b in zip([0, *cuts], cuts)]
+        if len(led) < len(chunks):
+            for i, chunk in enumerate(chunks):
+                if chunk[:1] != " ":
+                    out.insert(i, encode([chunk])[0])
+        return out
+
+    safe = cuts_are_safe(json.loads(tokenizer.to_str()))
+    return ChunkMemory(encode, encode_apart) if safe else lambda text: encode([text])
 
 
 MANIFEST = "part bigint, file string, docs bigint, ids bigint"
